@@ -198,8 +198,8 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, sha256 of the ids as little-endian 32-bit integers and of the decoded bytes; rows keep no arrays."""
+def token_digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, sha256 of the ids as little-endian 32-bit integers and of the decoded bytes; the ids too if asked for."""
     ranks, pattern = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,17 +211,19 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(c.length[ids])])[bounds]
                 packed = ids.astype("<u4")
                 docs_ = range(hi - lo)
+                more = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array(np.diff(bounds)),
                         pa.array([hashlib.sha256(packed[bounds[d] : bounds[d + 1]]).hexdigest() for d in docs_], pa.string()),
                         pa.array([hashlib.sha256(back[at[d] : at[d + 1]]).hexdigest() for d in docs_], pa.string()),
+                        *more,
                     ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
