@@ -2,12 +2,15 @@
 
 Every shingle is hashed once; the top of the hash picks one of ROWS * BANDS bins, and a bin
 keeps its least hash. Empty bins borrow from full ones by optimal densification (Shrivastava
-2017). BANDS groups of ROWS bins are bucket keys. At a similarity of 0.85 a pair shares no
-bucket with probability (1 - 0.85**5)**32 < 1e-8.
+2017). A document is known by 16 bits of each bin, its mark. BANDS groups of ROWS bins are
+bucket keys: at a similarity of 0.8 a pair shares no bucket with probability
+(1 - 0.8**8)**48 < 2e-4, at 0.85 with (1 - 0.85**8)**48 < 3e-7.
 
-Within a bucket, one centre at a time is paired with the members that are not yet in its
-component, so that copies cost one pair each. Buckets that still hold several components go
-on with more centres until every such pair has been seen: the stars lose no link.
+First, each bucket's least id is tied to the others in a star, so that a group of copies costs
+a pair for each member and bucket. Confirmed stars give components. Buckets that still hold
+several components are then gone through in blocks: two members of different components go on
+if their marks agree enough, in the first bucket that they share only. So no link is lost to
+the stars, and no pairs are made within a component or for unlike members.
 Pairs are confirmed on the full shingle sets, which are made anew from the texts.
 """
 
@@ -18,19 +21,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.tables import documents, drop, keep, small
 from quern.llm.words import mix, shingle_sets, text_slices
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 48, 8
 #: Rounds of densification by random bins; a bin that is empty still takes the next full one.
 TRIES = 64
-#: Sets of at least this size are compared by signatures first; a pair whose signatures agree in
-#: less than the given share (over 6 standard deviations below 0.8) is not compared in full.
-SIGNED, LEAST_AGREEMENT = 320, 0.6
+#: Sets of at least SIGNED shingles are compared by marks first: bins that agree estimate the similarity
+#: with a standard deviation of 0.02 at most, and a pair goes on from ``percent`` less MARGIN, six of these.
+SIGNED, MARGIN = 48, 0.12
+#: Members of a bucket to a block; a task holds two.
+BLOCK = 512
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
@@ -64,17 +69,8 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     return filled
 
 
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit bucket key for each set and band; the band is part of the key."""
-    grouped = sig.reshape(len(sig), bands, rows)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sig), bands)).copy()
-    for r in range(rows):
-        key = mix(key ^ grouped[:, :, r], r + 1)
-    return key.view(np.int64)
-
-
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set, its bucket keys and its 16-bit signature."""
+    """doc_id, n_shingles, a 128-bit name of the set, and its mark."""
     bins = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,31 +79,160 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             for lo, hi, raw, offs in text_slices(batch.column(1)):
                 values, bounds = shingle_sets(raw, offs, width)
                 count = np.diff(bounds)
-                full = np.flatnonzero(count)
-                sig = signatures(values, bounds, bins)
                 names = []
                 for salt in (3, 5):
-                    run_ = np.concatenate([[0], np.cumsum(mix(values, salt), dtype=np.uint64)]).astype(np.uint64)
-                    names.append(mix(run_[bounds[1:]] - run_[bounds[:-1]], salt).view(np.int64))
-                each = np.zeros(len(count) + 1, np.int32)
-                each[1:][full] = bands
-                keys = pa.ListArray.from_arrays(pa.array(np.cumsum(each, dtype=np.int32)), pa.array(band_keys(sig, bands, rows).ravel()))
-                at = np.zeros(len(count) + 1, np.int64)
-                at[1:][full] = 2 * bins
-                low = mix(sig, 2).astype(np.uint16).tobytes()
-                at = np.cumsum(at)
+                    total = np.concatenate([[0], np.cumsum(mix(values, salt), dtype=np.uint64)]).astype(np.uint64)
+                    names.append(mix(total[bounds[1:]] - total[bounds[:-1]], salt).view(np.int64))
+                low = mix(signatures(values, bounds, bins), 2).astype("<u2").tobytes()
+                at = np.cumsum(np.concatenate([[0], np.where(count > 0, 2 * bins, 0)]))
                 marks = pa.array([low[at[i] : at[i + 1]] for i in range(len(count))], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(count.astype(np.int64)), *(pa.array(n) for n in names), keys, marks],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "keys", "mark"],
-                )
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(count.astype(np.int64)), *(pa.array(n) for n in names), marks], ["doc_id", "n_shingles", "set_a", "set_b", "mark"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, mark binary")
+
+
+def bucket_keys(bands: int, rows: int) -> Column:
+    """A key for each band of the column ``mark``; the band is part of the key."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("mark", i * (2 * rows) + 1, F.lit(2 * rows)))))
+
+
+def likely(one: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of marks (rows of two arrays) of sets of n and m shingles may be linked."""
+    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return fits & ((np.minimum(n, m) < SIGNED) | ((one == other).mean(-1) >= percent / 100 - MARGIN))
+
+
+def _likely(percent: int):
+    def judge(ma: pd.Series, mb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        if not len(ma):
+            return pd.Series([], dtype=bool)
+        one, other = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), -1) for x in (ma, mb))
+        return pd.Series(likely(one, other, na.to_numpy(), nb.to_numpy(), percent))
+
+    return F.pandas_udf(judge, "boolean")
+
+
+def across(members: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
+    """Likely pairs between components, from members(key, first, id, c, n, mark, count): a row per unit of work.
+
+    A bucket of over BLOCK members is dealt into blocks, and pairs of blocks are the units
+    (key, p, q). Rows come sorted by these, so a task holds one unit. A unit's row has the ids
+    of its likely pairs and the pairs as places among them. A pair is given in the first bucket
+    that its marks share, and not for the bucket's centre, which its star has compared.
+    """
+    dealt = members.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks").cast("long")).cast("int"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = both.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "first", "id", "c", "n", "mark")
+
+    def pairs(unit: list[tuple], crossed: bool) -> tuple[list[int], list[int], list[int]]:
+        block, first, ids, c, n = (np.array([r[i] for r in unit], np.int64) for i in range(5))
+        marks = np.frombuffer(b"".join(r[5] for r in unit), np.uint16).reshape(len(unit), -1)
+        # the unit's own band, if its marks share just one
+        shared = np.flatnonzero((marks == marks[0]).reshape(len(unit), bands, rows).all((0, 2)))
+        band = int(shared[0]) if len(shared) == 1 else -1
+        used: dict[int, int] = {}
+        left: list[int] = []
+        right: list[int] = []
+        for i in np.flatnonzero(ids != first):
+            rest = np.flatnonzero((ids > ids[i]) & (ids != first) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if crossed:
+                rest = rest[block[rest] != block[i]]
+            rest = rest[likely(marks[rest], marks[i], n[rest], n[i], percent)]
+            if band >= 0 and len(rest):
+                rest = rest[(marks[rest] == marks[i]).reshape(len(rest), bands, rows).all(2).argmax(1) == band]
+            for j in rest.tolist():
+                left.append(used.setdefault(int(ids[i]), len(used)))
+                right.append(used.setdefault(int(ids[j]), len(used)))
+        return list(used), left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, unit = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(unit) > 1:
+                ids, left, right = pairs(unit, now[1] != now[2])
+                if left:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([x], t) for x, t in zip(now, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([ids], pa.list_(pa.int64())), pa.array([left], pa.list_(pa.int32())), pa.array([right], pa.list_(pa.int32()))],
+                        ["key", "p", "q", "ids", "left", "right"],
+                    )
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if row[:3] != now:
+                    yield from out()
+                    now, unit = row[:3], []
+                unit.append(row[3:])
+        yield from out()
+
+    return units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "key long, p int, q int, ids array<long>, left array<int>, right array<int>")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, mark binary")
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids(id)``."""
+    ids = keep(ids.distinct(), "ids")
+    return keep(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(small(ids, ids.count()), "id", "left_semi"), "texts")
 
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of equal 16-bit marks of two signatures."""
-    return pd.Series([float(np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16))) for x, y in zip(a, b, strict=True)], dtype=float)
+
+def linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    if not len(one) or not len(other):
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
+def confirmed_units(units: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that tie together what the pairs of ``units`` (see ``across``) tie together.
+
+    A unit's texts come once each, after its pairs; a pair whose ends the unit has already
+    tied together is passed over.
+    """
+    named = units.select("key", "p", "q", F.posexplode("ids").alias("i", "id"))
+    none = F.lit(None).cast("array<int>")
+    parts = named.join(texts_of(units.select(F.explode("ids").alias("id")), docs), "id").select("key", "p", "q", "i", "id", "text", none.alias("left"), none.alias("right"))
+    heads = units.select("key", "p", "q", F.lit(-1).alias("i"), F.lit(0).cast("long").alias("id"), F.lit("").alias("text"), "left", "right")
+    rows = heads.unionByName(parts).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: tuple = ((), ())
+        ids: list[int] = []
+        sets: list[list[np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            root = list(range(len(ids)))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            found = []
+            for a, b in zip(*pairs, strict=True):
+                x, y = find(a), find(b)
+                if x != y and any(linked(s, t, percent) for s in sets[a] for t in sets[b]):
+                    root[max(x, y)] = min(x, y)
+                    found.append((ids[a], ids[b]))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            place, names = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for lo, _, raw, offs in text_slices(batch.column(5)):
+                values, bounds = shingle_sets(raw, offs, width)
+                for i in range(len(offs) - 1):
+                    at = place[lo + i]
+                    if at < 0:
+                        yield out()
+                        pairs, ids, sets = (batch.column(6)[lo + i].as_py(), batch.column(7)[lo + i].as_py()), [], []
+                        continue
+                    while len(sets) <= at:
+                        sets.append([])
+                        ids.append(names[lo + i])
+                    sets[at].append(values[bounds[i] : bounds[i + 1]].copy())
+        yield out()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, salts: int = 64) -> DataFrame:
@@ -116,8 +241,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, salts
     The text of each b goes to its centre a once; a centre with many partners is dealt over
     ``salts`` places. Rows come sorted, centre first, so a task holds one set at a time.
     """
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = keep(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(small(ids, ids.count()), "id", "left_semi"), "texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
     salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
     members = pairs.withColumn("salt", salt).join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
     places = pairs.select("a", salt.alias("salt")).distinct()
@@ -138,12 +262,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, salts
                             at, held = (a[row], s[row]), []
                         held.append(own.copy())
                         continue
-                    for centre in held:
-                        both = len(np.intersect1d(centre, own, assume_unique=True)) if len(centre) and len(own) else 0
-                        if both and 100 * both >= percent * (len(centre) + len(own) - both):
-                            found_a.append(a[row])
-                            found_b.append(b[row])
-                            break
+                    if any(linked(centre, own, percent) for centre in held):
+                        found_a.append(a[row])
+                        found_b.append(b[row])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -158,48 +279,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links by any of its texts. A null doc_id links with nothing: component_id null, kept false.
     Other columns of ``docs`` are not read.
     """
-    marks = keep(sketch(docs, width, bands, rows), "sketch")
+    drawn = keep(sketch(docs, width, bands, rows), "sketch")
+    marks = keep(drawn.drop("mark"), "sets")
+    names = ["set_a", "set_b", "n_shingles"]
     solid = marks.where("n_shingles > 0 and doc_id is not null")
     # Equal sets first: one representative goes on, the others link to it.
-    classes = keep(solid.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    copies = solid.select("set_a", "set_b", "n_shingles", "doc_id").join(classes.where("rep <> last"), ["set_a", "set_b", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    copies = keep(copies, "copies")
-    reps = keep(solid.join(classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("doc_id")), ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi").select("doc_id", "n_shingles", "mark", "keys"), "reps")
-    exploded = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    shared = exploded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    members = keep(exploded.join(shared.select("key"), "key", "left_semi").distinct(), "members")
-    facts = reps.select(F.col("doc_id").alias("id"), "n_shingles", "mark")
-
-    agreement = F.pandas_udf(_agreement, "double")
-    likely = F.when(F.least("na", "nb") < SIGNED, F.lit(1.0)).otherwise(agreement("ma", "mb")) >= (LEAST_AGREEMENT if percent >= 80 else 0.0)
-    links, labels, centres, done = None, None, 1, 0
-    while True:
-        if labels is None:
-            known = members.withColumn("c", F.col("id"))
-        else:
-            known = members.join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-        unlike = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-        unlike = keep(unlike.where((F.col("low") != F.col("high")) & (F.col("n") > done + 1)).select("key", "first"), "unlike")
-        if unlike.isEmpty():
-            break
-        if done == 0:
-            pairs = members.join(unlike, "key").where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        else:
-            # few buckets are left: number their members and take the next centres
-            left = keep(known.join(unlike.select("key"), "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") > done), "left")
-            chosen = left.where(F.col("r") <= done + centres).select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-            pairs = left.join(chosen, "key").where("id > a and c <> ca").select("a", F.col("id").alias("b"))
-        pairs = pairs.distinct()
-        one = facts.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("mark").alias("ma"))
-        two = facts.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("mark").alias("mb"))
-        sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        plausible = keep(sized.where(likely).select("a", "b").distinct(), "plausible")
-        if not plausible.isEmpty():
-            found = keep(confirmed(plausible, docs, width, percent), "links")
-            links = found if links is None else links.unionByName(found)
-            labels = keep(components(links), "labels")
-        done, centres = done + centres, centres * 8
-    links = keep(copies if links is None else links.unionByName(copies), "all-links")
+    classes = keep(solid.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
+    copies = keep(solid.join(classes.where("rep <> last"), names).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
+    reps = keep(drawn.join(classes.withColumnRenamed("rep", "doc_id"), [*names, "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "mark"), "reps")
+    drop(drawn)
+    keyed = keep(reps.select(bucket_keys(bands, rows).alias("key"), "id"), "keyed")
+    shared = keep(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("count")).where("first <> last").drop("last"), "shared")
+    members = keep(keyed.join(shared, "key").distinct(), "members")
+    drop(keyed)
+
+    # Stars
+    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    one, two = (reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("mark").alias("m" + x)) for x in "ab")
+    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    sized = stars.join(one, "a").join(two, "b").where(fits)
+    links = keep(confirmed(keep(sized.where(_likely(percent)("ma", "mb", "na", "nb")).select("a", "b").distinct(), "stars"), docs, width, percent), "star-links")
+    labels = keep(components(links), "labels")
+
+    # What the stars left open
+    known = members.join(labels, "id", "left").select("key", "first", "id", "count", F.coalesce("component_id", "id").alias("c"))
+    unlike = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    left = known.where("count > 2").join(unlike, "key", "left_semi").join(reps, "id").select("key", "first", "id", "c", "n", "mark", "count")
+    links = links.unionByName(keep(confirmed_units(keep(across(left, bands, rows, percent), "units"), docs, width, percent), "unit-links"))
+    links = keep(links.unionByName(copies), "links")
     every = components(links)
     return (
         marks.select("doc_id", "n_shingles").join(every.withColumnRenamed("id", "doc_id"), "doc_id", "left")
