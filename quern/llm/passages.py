@@ -70,7 +70,7 @@ def repeats(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAS
     # the earliest occurrence of what occurs twice; copies within a document are met map-side
     shared = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = keep(shared, "shared")
-    again = found.join(small(shared, shared.count(), 400_000), ["d1", "d2"])
+    again = found.join(shared, ["d1", "d2"])
     again = keep(again, "again")
     kept = again.where("doc_id = kept_doc_id").groupBy("d1", "d2").agg(F.min("start").alias("kept_start"))
     flagged = again.join(kept, ["d1", "d2"]).where("doc_id <> kept_doc_id or start <> kept_start").drop("d1", "d2").distinct()
