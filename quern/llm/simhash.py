@@ -93,20 +93,20 @@ def within(queries: DataFrame, all_: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """(doc_id, th) -> (next_id, next_th) by descending doc_id, null last, round to the first after the last.
+    """k, th, n_chars, next_k, next_th from distinct ids(doc_id, k, th, n_chars), by descending doc_id, null last, round to the first after the last.
 
     The order is cut into ranges; positions are a range's start plus the place in it.
     """
-    ordered = ids.repartitionByRange(F.col("doc_id").desc_nulls_last(), "th").sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "th")
-    placed = keep(ordered.withColumn("at", F.monotonically_increasing_id()), "order")
+    keys = [F.col("doc_id").desc_nulls_last(), F.col("th")]
+    placed = keep(ids.repartitionByRange(*keys).sortWithinPartitions(*keys).select("k", "th", "n_chars", F.monotonically_increasing_id().alias("at")), "order")
     part = F.shiftright("at", 33)
     parts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     parts = parts.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = keep(parts.withColumn("total", F.sum("n").over(Window.partitionBy())), "parts")  # a row per range
-    at = placed.withColumn("part", part).join(F.broadcast(parts), "part").select("doc_id", "th", "n_chars", (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("p"), "total")
+    at = placed.withColumn("part", part).join(F.broadcast(parts), "part").select("k", "th", "n_chars", (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("p"), "total")
     at = keep(at, "positions")
-    after = at.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), "p")
-    return at.withColumn("p", F.pmod(F.col("p") + 1, F.col("total"))).join(after, "p").select("doc_id", "th", "n_chars", "next_id", "next_th")
+    after = at.select(F.col("k").alias("next_k"), F.col("th").alias("next_th"), "p")
+    return at.withColumn("p", F.pmod(F.col("p") + 1, F.col("total"))).join(after, "p").select("k", "th", "n_chars", "next_k", "next_th")
 
 
 def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,29 +115,29 @@ def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     divisible by 100, is the number of different fingerprints within 3 bits, its own included.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = keep(docs.select("doc_id", "th", F.length("text").cast("long").alias("n_chars")), "rows")
+    ident = F.col("doc_id").cast("long")
+    # k and th name a document without nulls, so that joins and groups on them share exchanges
+    docs = documents(spark, sf_dir).select(F.coalesce(ident, F.lit(-(2**63))).alias("k"), ident.alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text", F.col("doc_id").isNull()))
+    rows = keep(docs.select("doc_id", "k", "th", F.length("text").cast("long").alias("n_chars")), "rows")
     order = keep(following(rows.distinct()), "following")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    heads = docs.alias("d").join(order.alias("o"), F.expr("d.doc_id <=> o.next_id and d.th = o.next_th"))
-    heads = heads.select("o.doc_id", "o.th", "o.n_chars", "next_id", "next_th", F.substring("text", F.lit(1), half).alias("head")).distinct()
-    both = docs.alias("d").join(heads.alias("h"), F.expr("d.doc_id <=> h.doc_id and d.th = h.th"))
-    both = both.select("d.doc_id", "d.th", "next_id", "next_th", "text", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), "head").alias("edited"))
+    docs = docs.select("k", "th", "text")
+    # the same columns by the same names as in the second join: one exchange of the texts serves both
+    heads = docs.alias("d").join(order.alias("o"), F.expr("d.k = o.next_k and d.th = o.next_th"))
+    heads = heads.select("o.k", "o.th", "n_chars", "next_k", "next_th", F.substring("d.text", F.lit(1), half).alias("head"))
+    heads = heads.groupBy("k", "th").agg(*(F.first(c).alias(c) for c in ("n_chars", "next_k", "next_th", "head")))
+    both = docs.join(heads, ["k", "th"])
+    both = both.select("k", "th", "next_k", "next_th", "text", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), "head").alias("edited"))
     kinds = F.explode(F.array(F.struct(F.lit("").alias("sha"), F.col("text").alias("t")), F.struct(F.sha2("edited", 256).alias("sha"), F.col("edited").alias("t"))))
-    made = both.select("doc_id", "th", "next_id", "next_th", kinds.alias("k")).select("doc_id", "th", "next_id", "next_th", "k.sha", "k.t")
-    prints = keep(fingerprints(made, ["doc_id", "th", "next_id", "next_th", "sha"], "t"), "prints")
-    own = prints.where("sha = ''")
-    edited = prints.where("sha <> ''").select("doc_id", "th", "next_id", "next_th", "sha", F.col("f1").alias("e1"), F.col("f2").alias("e2"))
-    nexts = own.select(F.col("doc_id").alias("n_id"), F.col("th").alias("n_th"), F.col("f1").alias("n1"), F.col("f2").alias("n2"))
-    asked = own.where("doc_id % 100 = 0")
-    counts = within(asked, own).groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("near_count"))
-    found = (
-        rows.alias("r").join(edited.alias("e"), F.expr("r.doc_id <=> e.doc_id and r.th = e.th"))
-        .join(own.select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), "f1", "f2").alias("o"), F.expr("r.doc_id <=> o_id and r.th = o_th"))
-        .join(nexts, F.expr("next_id <=> n_id and next_th = n_th"))
-    )
-    found = found.join(counts, F.expr("r.doc_id % 100 = 0 and f1 = q1 and f2 = q2"), "left")
+    made = both.select("k", "th", "next_k", "next_th", kinds.alias("e")).select("k", "th", "next_k", "next_th", "e.sha", "e.t")
+    prints = keep(fingerprints(made, ["k", "th", "next_k", "next_th", "sha"], "t"), "prints")
+    own = prints.where("sha = ''").select("k", "th", "f1", "f2")
+    edited = prints.where("sha <> ''").select("k", "th", "next_k", "next_th", "sha", F.col("f1").alias("e1"), F.col("f2").alias("e2"))
+    nexts = own.select(F.col("k").alias("next_k"), F.col("th").alias("next_th"), F.col("f1").alias("n1"), F.col("f2").alias("n2"))
+    counts = within(own.where("k % 100 = 0"), own).groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("near_count"))
+    found = rows.join(edited, ["k", "th"]).join(own, ["k", "th"]).join(nexts, ["next_k", "next_th"])
+    found = found.join(counts, F.expr("doc_id % 100 = 0 and f1 = q1 and f2 = q2"), "left")
     return found.select(
-        "r.doc_id", "n_chars", F.col("sha").alias("edited_sha256"), shown(F.col("f1"), F.col("f2")).alias("fingerprint"), shown(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), shown(F.col("f1"), F.col("f2")).alias("fingerprint"), shown(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
         likeness(F.col("f1"), F.col("f2"), F.col("e1"), F.col("e2")).alias("near_edited"), likeness(F.col("f1"), F.col("f2"), F.col("n1"), F.col("n2")).alias("near_next"), "near_count",
     )
