@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words with inner apostrophes, Cyrillic words, numbers. ASCII digits only, in every engine.
@@ -34,20 +34,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
-def word_spans(text: Column) -> Column:
-    """array<struct<start, end>> in code points: lengths of tokens and of what stands between, summed up."""
-    folded = fold(text)
-    gaps = F.split(folded, TOKEN, -1)
-    found = F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, t: F.struct(F.length(g).alias("gap"), F.length(t).alias("size")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    # appended to one array: quadratic in an engine that copies, so long texts are cut by chunk_token before
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.concat(s["spans"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end")))).alias("spans")),
-        lambda s: s["spans"],
-    )
+def word_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, n, chars, i, begin, stop: the i-th of n tokens at begin..stop in code points; a row with empty extent for none.
+
+    Offsets are running sums of the lengths of tokens and of what stands between them.
+    """
+    folded = fold(F.col("text"))
+    base = docs.withColumns({"__gaps": F.split(folded, TOKEN, -1), "__found": F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0))})
+    steps = F.zip_with(F.slice("__gaps", F.lit(1), F.greatest(F.size("__found"), F.lit(1))), F.col("__found"), lambda g, t: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(t), F.lit(0)).alias("size")))
+    pieces = base.select("doc_id", F.size("__found").alias("n"), F.length("text").alias("chars"), F.posexplode(steps).alias("i", "x"))
+    run = Window.partitionBy("doc_id").orderBy("i")
+    pieces = pieces.withColumn("stop", F.sum(F.col("x.gap") + F.col("x.size")).over(run)).withColumn("begin", F.col("stop") - F.col("x.size"))
+    return pieces.drop("x")
 
 
 def analyzed(text: Column, least: int = 2, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
