@@ -1,6 +1,359 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and the same in SQL where it can say them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.functions.stem import stem_table
+from quern.operators import answer, chunk, embed, fuse, metrics, search, store
+
+DIM = 64
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(s, d):
+    return _read(s, d, "documents")
+
+
+def _questions(s, d):
+    return _read(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def fold_text(s, d):
+    return _docs(s, d).select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
+
+
+def tokenize_count(s, d):
+    return _docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+def analyze_terms(s, d):
+    terms = T.analyzed(F.col("text"))
+    return _docs(s, d).select("doc_id", F.size(terms).cast("long").alias("n_terms"), F.md5(F.array_join(terms, " ")).alias("terms"))
+
+
+def snippets(s, d):
+    return _docs(s, d).select("doc_id", T.snippet(F.col("text"), 80).alias("snippet"), F.length(T.collapse_whitespace(F.col("text"))).cast("long").alias("n_collapsed"))
+
+
+def word_spans(s, d):
+    spans = T.word_spans(_docs(s, d)).where("n > 0")
+    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("begin").alias("starts"), F.sum("stop").alias("stops"))
+
+
+def _spans(chunks):
+    return chunks.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), F.md5("text").alias("digest"))
+
+
+def chunk_fixed(s, d):
+    return _spans(chunk.chunk(_docs(s, d), "fixed"))
+
+
+def chunk_token(s, d):
+    return _spans(chunk.chunk(_docs(s, d), "token"))
+
+
+def chunk_sentence(s, d):
+    return _spans(chunk.chunk(_docs(s, d), "sentence"))
+
+
+def chunk_structural(s, d):
+    return _spans(chunk.chunk(_docs(s, d), "structural"))
+
+
+def chunk_coverage(s, d):
+    docs = _docs(s, d)
+    every = [chunk.coverage(chunk.chunk(docs, k), docs).select("doc_id", F.lit(k).alias("strategy"), "covered") for k in chunk.DEFAULTS]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
+def chunk_reconstruct(s, d):
+    docs = _docs(s, d)
+    every = [chunk.reconstruct(chunk.chunk(docs, k)).select("doc_id", F.lit(k).alias("strategy"), F.md5("text").alias("digest")) for k in chunk.DEFAULTS]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
+def postings(s, d):
+    return search.postings(_docs(s, d), "doc_id", T.analyzed(F.col("text"))).select("term", "doc_id", "tf", F.col("len").cast("long").alias("n_terms"))
+
+
+def corpus_stats(s, d):
+    return search.corpus_stats(_docs(s, d), T.analyzed(F.col("text"))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def doc_frequency(s, d):
+    docs, terms = _docs(s, d), T.analyzed(F.col("text"))
+    found = search.doc_frequency(search.postings(docs, "doc_id", terms), search.corpus_stats(docs, terms))
+    return found.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def stem_terms(s, d):
+    return stem_table(_docs(s, d).select(F.explode(T.tokens(F.col("text"))).alias("term")))
+
+
+def _scores(ranked, key="doc_id"):
+    return ranked.select("qid", key, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def bm25_topk(s, d):
+    return _scores(search.bm25(_questions(s, d), _docs(s, d), "doc_id", 10))
+
+
+def bm25_filtered(s, d):
+    return _scores(search.bm25(_questions(s, d), _docs(s, d), "doc_id", 10, filters=search.matches({"lang": "en", "source": ["src0", "src1", "src2"]})))
+
+
+def bm25_chunks(s, d):
+    chunks = chunk.chunk(_docs(s, d), "fixed")
+    return _scores(search.bm25(_questions(s, d), chunks, "chunk_id", 10), "chunk_id")
+
+
+def _vectors(s, d):
+    rows = _read(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector"), rows
+
+
+def dense_cosine_topk(s, d):
+    q, rows = _vectors(s, d)
+    return _scores(search.dense_topk(q, rows, "vec_id", 10), "vec_id")
+
+
+def dense_l2_topk(s, d):
+    q, rows = _vectors(s, d)
+    return _scores(search.dense_topk(q, rows, "vec_id", 10, "l2"), "vec_id")
+
+
+def dense_filtered(s, d):
+    q, rows = _vectors(s, d)
+    return _scores(search.dense_topk(q, rows.where(search.matches({"label": [1, 2, 3]})), "vec_id", 10), "vec_id")
+
+
+def hash_embed(s, d):
+    found = embed.hash_embed(_docs(s, d), "doc_id", "text", DIM)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_places"), F.round(F.sum(F.col("x") * (F.col("idx") + 1)), 6).alias("checksum"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("square"))
+
+
+def _lists(s, d):
+    questions, docs = _questions(s, d), _docs(s, d)
+    lexical = search.bm25(questions, docs, "doc_id", 30).withColumn("source", F.lit("lexical"))
+    q = embed.dense(embed.hash_embed(questions, "qid", "question", DIM), "qid", DIM)
+    rows = embed.dense(embed.hash_embed(docs, "doc_id", "text", DIM), "doc_id", DIM)
+    near = search.dense_topk(q, rows, "doc_id", 30).withColumn("source", F.lit("dense"))
+    return lexical.unionByName(near.select(*lexical.columns))
+
+
+def fuse_rrf(s, d):
+    return _scores(fuse.fuse(_lists(s, d), "doc_id", 6))
+
+
+def fuse_weighted(s, d):
+    return _scores(fuse.fuse(_lists(s, d), "doc_id", 6, "weighted"))
+
+
+def hybrid_explained(s, d):
+    fused = fuse.fuse(_lists(s, d), "doc_id", 6)
+    return fused.select("qid", F.col("rank").cast("long").alias("rank"), fuse.explained(fused, "doc_id").alias("explained"))
+
+
+def rerank_heuristic(s, d):
+    questions, docs = _questions(s, d), _docs(s, d)
+    top = search.bm25(questions, docs, "doc_id", 20).select("qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    return _scores(fuse.rerank(top, questions, "doc_id", 6))
+
+
+def _gold(s, d):
+    """Where a benchmark passage stands verbatim in a document; the passages are a stated set, broadcast by size."""
+    passages = _read(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    pairs = _docs(s, d).join(search.sized(passages), F.expr("instr(text, passage) > 0"))
+    start = F.expr("instr(text, passage) - 1")
+    return pairs.select("qid", "doc_id", start.cast("long").alias("gold_start"), (start + F.length("passage")).cast("long").alias("gold_end"))
+
+
+def gold_spans(s, d):
+    return _gold(s, d)
+
+
+def gold_relevant(s, d):
+    return metrics.relevant(chunk.chunk(_docs(s, d), "fixed"), _gold(s, d))
+
+
+def retrieval_metrics(s, d):
+    found = search.bm25(_questions(s, d), _docs(s, d), "doc_id", 6)
+    gold = _gold(s, d).select("qid", "doc_id").distinct()
+    return metrics.at_k(found, gold, "doc_id", 5).select("qid", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "rr", "ndcg")))
+
+
+def _packs(s, d):
+    chunks = chunk.chunk(_docs(s, d), "fixed")
+    top = search.bm25(_questions(s, d), chunks, "chunk_id", 6)
+    return answer.packed(top.join(chunks.select("chunk_id", "text"), "chunk_id"), 2000, 700)
+
+
+def context_pack(s, d):
+    return _packs(s, d).select("qid", F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"), F.md5("block").alias("block"))
+
+
+def extractive_answer(s, d):
+    packs, questions = _packs(s, d), _questions(s, d)
+    done = answer.enforced(answer.extractive(packs, questions), packs, questions, "chunk_id")
+    return done.select("qid", "text", F.size("citations").alias("n_citations"), "refused", "reason")
+
+
+def refusal_sweep(s, d):
+    packs, questions = _packs(s, d).cache(), _questions(s, d)
+    rows = [answer.enforced(answer.extractive(packs, questions, min_support=m), packs, questions, "chunk_id").agg(F.lit(m).alias("min_support"), F.avg(F.col("refused").cast("int")).alias("refused")) for m in (0.0, 0.2, 0.34, 0.5, 0.67)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def faithfulness(s, d):
+    """Of each document's first 400 characters as an answer to its benchmark passage."""
+    pairs = _gold(s, d).join(_docs(s, d).select("doc_id", "text"), "doc_id").join(_questions(s, d), "qid")
+    said, cited = T.analyzed(F.substring("text", 1, 400)), T.analyzed(F.col("question"))
+    return pairs.select("qid", "doc_id", F.round(metrics.faithfulness(F.lit(False), said, cited), 6).alias("faithful"), F.round(metrics.term_recall(cited, said), 6).alias("term_recall"))
+
+
+def latency_percentiles(s, d):
+    return metrics.percentiles(_read(s, d, "events").where("value is not null"), "value").select(F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+def _table(s, d):
+    return chunk.chunk(_docs(s, d), "fixed").select("chunk_id", "doc_id", "text")
+
+
+def store_upsert(s, d):
+    old = _table(s, d)
+    new = old.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
+    return store.upsert(old, new).select("chunk_id", "doc_id", F.md5("text").alias("digest"))
+
+
+def store_delete(s, d):
+    return store.delete_documents(_table(s, d), _docs(s, d).where("lang = 'fr'")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def reindex_replace(s, d):
+    docs = _docs(s, d).where("doc_id % 5 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 900)))
+    fresh = chunk.chunk(docs, "fixed").select("chunk_id", "doc_id", "text")
+    return store.reindexed(_table(s, d), docs, fresh).select("chunk_id", "doc_id", F.md5("text").alias("digest"))
+
+
+def dedupe_ids(s, d):
+    turns = _read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text")
+    return store.last_of_each(turns).select("doc_id", "seq", F.md5("text").alias("digest"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bm25_topk, bm25_filtered, bm25_chunks, fold_text, tokenize_count, analyze_terms, snippets, word_spans, chunk_fixed, chunk_token, chunk_sentence, chunk_structural, chunk_coverage, chunk_reconstruct,
+        postings, corpus_stats, doc_frequency, stem_terms, dense_cosine_topk, dense_l2_topk, dense_filtered, hash_embed, fuse_rrf, fuse_weighted, hybrid_explained, rerank_heuristic, gold_spans,
+        gold_relevant, retrieval_metrics, context_pack, extractive_answer, refusal_sweep, faithfulness, latency_percentiles, store_upsert, store_delete, reindex_replace, dedupe_ids,
+    )
+}
+
+# --- the same in SQL ---------------------------------------------------------------------
+
+_TOKEN = T.TOKEN.replace("'", "''")
+_FOLD = "replace(lower(text), 'ё', 'е')"
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+
+
+def _tokens(column: str) -> str:
+    return f"regexp_extract_all(replace(lower({column}), 'ё', 'е'), '{_TOKEN}')"
+
+
+def _terms(column: str) -> str:
+    return f"list_filter({_tokens(column)}, lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
+
+
+_COLLAPSE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_FIXED = """fixed AS (
+  SELECT doc_id, i AS ordinal, i * 680 AS start_at, CASE WHEN i = n - 1 THEN chars ELSE least(i * 680 + 800, chars) END AS end_at, text AS whole FROM (
+    SELECT doc_id, text, chars, CASE WHEN raw > 1 AND chars - (raw - 1) * 680 < 120 THEN raw - 1 ELSE raw END AS n, unnest(range(CASE WHEN raw > 1 AND chars - (raw - 1) * 680 < 120 THEN raw - 1 ELSE raw END)) AS i FROM (
+      SELECT doc_id, text, length(text) AS chars, CASE WHEN length(text) <= 800 THEN 1 ELSE ceil((length(text) - 800) / 680.0)::BIGINT + 1 END AS raw FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''))),
+chunks AS (SELECT doc_id, ordinal, start_at, end_at, doc_id || '::' || CASE WHEN ordinal < 10000 THEN lpad(ordinal::VARCHAR, 4, '0') ELSE ordinal::VARCHAR END AS chunk_id, substr(whole, start_at + 1, end_at - start_at) AS text FROM fixed)"""
+_WORDS = f"""pieces AS (SELECT doc_id, length(text) AS chars, regexp_split_to_array({_FOLD}, '{_TOKEN}') AS gaps, {_tokens('text')} AS toks FROM documents),
+steps AS (SELECT doc_id, chars, len(toks) AS n, unnest(range(len(toks))) AS i, unnest(list_transform(toks, lambda t, k: length(gaps[k]))) AS gap, unnest(list_transform(toks, lambda t: length(t))) AS size FROM pieces),
+word AS (SELECT doc_id, chars, n, i, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) AS stop, size FROM steps)"""
+
+
+def _bm25(rows: str, key: str, k: int, where: str = "TRUE") -> str:
+    return f"""stats AS (SELECT count(*) AS n, avg(len({_terms('text')})) AS avgdl FROM {rows}),
+post AS (SELECT {key}, len, term, count(*) AS tf FROM (SELECT {key}, len(t) AS len, unnest(t) AS term FROM (SELECT {key}, {_terms('text')} AS t FROM {rows})) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+asked AS (SELECT DISTINCT item_id AS qid, unnest({_terms('text')}) AS term FROM benchmark),
+scored AS (SELECT qid, {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score FROM post JOIN df USING (term) JOIN asked USING (term), stats GROUP BY qid, {key}),
+lexical AS (SELECT qid, {key}, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, {key}) AS rank FROM scored WHERE {key} IN (SELECT {key} FROM {rows} WHERE {where}) QUALIFY rank <= {k})"""
+
+
+def _top(score: str, where: str = "TRUE") -> str:
+    return f"""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT vec_id, embedding::DOUBLE[] AS b FROM embeddings WHERE {where}),
+s AS (SELECT qid, vec_id, {score} AS score FROM q, r)
+SELECT qid, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s QUALIFY rank <= 10"""
+
+
+def _embedded(name: str, key: str, rows: str) -> str:
+    return f"""{name}_f AS (SELECT {key}, unnest(list_concat(list_transform(t, lambda x: 'w:' || x), flatten(list_transform(list_filter(t, lambda x: length(x) > 3), lambda x: list_transform(range(1, length(x) + 1), lambda i: 'c:' || substr('^' || x || '$', i, 3)))))) AS f FROM (SELECT {key}, {_tokens('text')} AS t FROM {rows})),
+{name}_s AS (SELECT {key}, ('0x' || substr(h, 1, 7))::BIGINT % {DIM} AS idx, sum((CASE WHEN ('0x' || substr(h, 8, 1))::INT >= 8 THEN 1.0 ELSE -1.0 END)::DOUBLE * (1 + ln(tf))) AS x FROM (SELECT {key}, f, md5('20260214:' || f) AS h, count(*) AS tf FROM {name}_f GROUP BY ALL) GROUP BY ALL),
+{name} AS (SELECT {key}, idx, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {name}_s)"""
+
+
+_LISTS = f"""{_bm25('documents', 'doc_id', 30)},
+{_embedded('qv', 'item_id', 'benchmark')},
+{_embedded('dv', 'doc_id', 'documents')},
+near AS (SELECT item_id AS qid, doc_id, sum(qv.x * dv.x) AS score FROM qv JOIN dv USING (idx) GROUP BY ALL),
+dense AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM near QUALIFY rank <= 30),
+lists AS (SELECT 'lexical' AS source, * FROM lexical UNION ALL SELECT 'dense', * FROM dense)"""
+_GOLD = "gold AS (SELECT b.item_id AS qid, d.doc_id, strpos(d.text, b.text) - 1 AS gold_start, strpos(d.text, b.text) - 1 + length(b.text) AS gold_end FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+_FUSED = "SELECT qid, doc_id, round(sum(part) / 1e12, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(sum(part) / 1e12, 9) DESC, doc_id) AS rank FROM p GROUP BY qid, doc_id QUALIFY rank <= 6"
+_STRATEGIES = "(VALUES ('fixed'), ('sentence'), ('structural'), ('token')) k(strategy)"
+
+ORACLES = {
+    "fold_text": f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents",
+    "tokenize_count": f"SELECT doc_id, len({_tokens('text')})::BIGINT AS n_tokens FROM documents",
+    "analyze_terms": f"SELECT doc_id, len(t)::BIGINT AS n_terms, md5(array_to_string(t, ' ')) AS terms FROM (SELECT doc_id, {_terms('text')} AS t FROM documents)",
+    "snippets": f"SELECT doc_id, CASE WHEN length(c) <= 80 THEN c ELSE rtrim(substr(c, 1, 79)) || '…' END AS snippet, length(c)::BIGINT AS n_collapsed FROM (SELECT doc_id, {_COLLAPSE} AS c FROM documents)",
+    "word_spans": f"WITH {_WORDS} SELECT doc_id, count(*) AS n_spans, sum(stop - size)::BIGINT AS starts, sum(stop)::BIGINT AS stops FROM word GROUP BY doc_id",
+    "chunk_fixed": f"WITH {_FIXED} SELECT doc_id, ordinal, start_at::BIGINT AS start_at, end_at::BIGINT AS end_at, md5(text) AS digest FROM chunks",
+    "chunk_token": f"""WITH {_WORDS}, placed AS (SELECT *, CASE WHEN n <= 180 THEN 1 ELSE ceil((n - 180) / 150.0)::BIGINT + 1 END AS total FROM word),
+spread AS (SELECT *, unnest(range(greatest(0, ceil((i - 179) / 150.0)::BIGINT), least(i // 150, total - 1) + 1)) AS ordinal FROM placed),
+span AS (SELECT doc_id, ordinal, total, chars, min(stop - size) AS b, max(stop) AS e FROM spread GROUP BY ALL)
+SELECT s.doc_id, ordinal, start_at, end_at, md5(substr(text, start_at + 1, end_at - start_at)) AS digest FROM (SELECT doc_id, ordinal, (CASE WHEN ordinal = 0 THEN 0 ELSE b END)::BIGINT AS start_at, (CASE WHEN ordinal = total - 1 THEN chars ELSE e END)::BIGINT AS end_at FROM span) s JOIN documents d USING (doc_id)""",
+    "chunk_coverage": f"SELECT doc_id, strategy, TRUE AS covered FROM documents, {_STRATEGIES} WHERE {_COLLAPSE} <> ''",
+    "chunk_reconstruct": f"SELECT doc_id, strategy, md5(text) AS digest FROM documents, {_STRATEGIES} WHERE {_COLLAPSE} <> ''",
+    "postings": f"SELECT term, doc_id, count(*) AS tf, n_terms FROM (SELECT doc_id, len(t)::BIGINT AS n_terms, unnest(t) AS term FROM (SELECT doc_id, {_terms('text')} AS t FROM documents)) GROUP BY ALL",
+    "corpus_stats": f"SELECT count(*) AS n, round(avg(len({_terms('text')})), 6) AS avgdl FROM documents",
+    "doc_frequency": f"SELECT term, count(DISTINCT doc_id) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5)), 6) AS idf FROM (SELECT doc_id, unnest({_terms('text')}) AS term FROM documents) GROUP BY term",
+    "bm25_topk": f"WITH {_bm25('documents', 'doc_id', 10)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM lexical",
+    "bm25_filtered": "WITH " + _bm25("documents", "doc_id", 10, "lang = 'en' AND source IN ('src0', 'src1', 'src2')") + " SELECT qid, doc_id, round(score, 6) AS score, rank FROM lexical",
+    "bm25_chunks": f"WITH {_FIXED}, {_bm25('chunks', 'chunk_id', 10)} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lexical",
+    "dense_cosine_topk": _top("list_cosine_similarity(a, b)"),
+    "dense_l2_topk": _top("-list_distance(a, b)"),
+    "dense_filtered": _top("list_cosine_similarity(a, b)", "label IN (1, 2, 3)"),
+    "hash_embed": f"WITH {_embedded('dv', 'doc_id', 'documents')} SELECT doc_id, count(*) AS n_places, round(sum(x * (idx + 1)), 6) AS checksum, round(sum(x * x), 6) AS square FROM dv GROUP BY doc_id",
+    "fuse_rrf": f"WITH {_LISTS}, p AS (SELECT qid, doc_id, round(0.5::DOUBLE / (60 + rank) * 1e12)::BIGINT AS part FROM lists) {_FUSED}",
+    "fuse_weighted": f"WITH {_LISTS}, m AS (SELECT *, min(score) OVER w AS low, max(score) OVER w AS high FROM lists WINDOW w AS (PARTITION BY qid, source)), p AS (SELECT qid, doc_id, round(0.5::DOUBLE * CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1.0 END * 1e12)::BIGINT AS part FROM m) {_FUSED}",
+    "gold_spans": f"WITH {_GOLD} SELECT qid, doc_id, gold_start::BIGINT AS gold_start, gold_end::BIGINT AS gold_end FROM gold",
+    "gold_relevant": f"WITH {_FIXED}, {_GOLD} SELECT DISTINCT qid, chunk_id FROM chunks JOIN gold USING (doc_id) WHERE start_at < gold_end AND gold_start < end_at",
+    "retrieval_metrics": f"""WITH {_bm25('documents', 'doc_id', 6)}, {_GOLD}, wanted AS (SELECT qid, count(DISTINCT doc_id) AS n FROM gold GROUP BY qid),
+hit AS (SELECT l.qid, l.rank, g.doc_id IS NOT NULL AS hit FROM lexical l LEFT JOIN gold g ON l.qid = g.qid AND l.doc_id = g.doc_id),
+per AS (SELECT qid, count(*) FILTER (hit AND rank <= 5) AS found, min(rank) FILTER (hit) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= 5), 0) AS gain FROM hit GROUP BY qid)
+SELECT qid, round(CASE WHEN n > 0 THEN found / n ELSE 0 END, 6) AS recall, round(coalesce(found, 0) / 5, 6) AS precision, round(coalesce(1 / first, 0), 6) AS rr,
+round(CASE WHEN n > 0 THEN coalesce(gain, 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg FROM per FULL JOIN wanted USING (qid)""",
+    "context_pack": f"""WITH {_FIXED}, {_bm25('chunks', 'chunk_id', 6)}, b AS (SELECT qid, rank, '[' || rank || '] ' || substr({_COLLAPSE}, 1, 700) AS block FROM lexical JOIN chunks USING (chunk_id)),
+u AS (SELECT qid, rank, block, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS used FROM b) SELECT qid, rank, used::BIGINT AS used, md5(block) AS block FROM u WHERE used <= 2000 OR rank = 1""",
+    "faithfulness": f"""WITH {_GOLD}, t AS (SELECT qid, doc_id, list_distinct({_terms('substr(d.text, 1, 400)')}) AS said, list_distinct({_terms('b.text')}) AS cited FROM gold JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = qid)
+SELECT qid, doc_id, round(CASE WHEN len(said) = 0 THEN 1.0 ELSE 1 - len(list_filter(said, lambda x: NOT list_contains(cited, x))) / len(said) END, 6) AS faithful, round(CASE WHEN len(cited) = 0 THEN 0.0 ELSE len(list_intersect(cited, said)) / len(cited) END, 6) AS term_recall FROM t""",
+    "latency_percentiles": "SELECT round(median(value), 6) AS p50, round(list_sort(list(value))[round_even(0.95 * (count(value) - 1), 0)::BIGINT + 1], 6) AS p95 FROM events WHERE value IS NOT NULL",
+    "store_upsert": f"WITH {_FIXED} SELECT chunk_id, doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END) AS digest FROM chunks",
+    "store_delete": f"WITH {_FIXED} SELECT doc_id, count(*) AS n_chunks FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') GROUP BY doc_id",
+    "reindex_replace": "WITH before AS (SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text WHEN doc_id % 10 = 0 THEN ' ' ELSE substr(text, 1, 900) END AS text FROM documents)), " + _FIXED.replace("FROM documents", "FROM before") + " SELECT chunk_id, doc_id, md5(text) AS digest FROM chunks",
+    "dedupe_ids": "SELECT conv_id AS doc_id, turn AS seq, md5(text) AS digest FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
+}
