@@ -1 +1,6 @@
 """A retrieval and answer engine on Spark DataFrames."""
+
+from quern.plans.config import Config, load, variant
+from quern.plans.pipeline import Pipeline, evaluate, sweep
+
+__all__ = ["Config", "Pipeline", "evaluate", "load", "sweep", "variant"]

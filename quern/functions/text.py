@@ -42,7 +42,9 @@ def word_spans(docs: DataFrame) -> DataFrame:
     folded = fold(F.col("text"))
     base = docs.withColumns({"__gaps": F.split(folded, TOKEN, -1), "__found": F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0))})
     steps = F.zip_with(F.slice("__gaps", F.lit(1), F.greatest(F.size("__found"), F.lit(1))), F.col("__found"), lambda g, t: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(t), F.lit(0)).alias("size")))
-    pieces = base.select("doc_id", F.size("__found").alias("n"), F.length("text").alias("chars"), F.posexplode(steps).alias("i", "x"))
+    # sizes first: an exploded row then carries numbers, not the text and the arrays
+    sized = base.select("doc_id", F.size("__found").alias("n"), F.length("text").alias("chars"), steps.alias("steps"))
+    pieces = sized.select("doc_id", "n", "chars", F.posexplode("steps").alias("i", "x"))
     run = Window.partitionBy("doc_id").orderBy("i")
     pieces = pieces.withColumn("stop", F.sum(F.col("x.gap") + F.col("x.size")).over(run)).withColumn("begin", F.col("stop") - F.col("x.size"))
     return pieces.drop("x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,32 +41,45 @@ def explained(fused: DataFrame, key: str) -> Column:
     return F.concat_ws(" ", F.col(key).cast("string"), F.concat(F.lit("rrf="), F.format_string("%.5f", "score")), marks)
 
 
+def least_window(terms: list[str], wanted: set[str]) -> int:
+    """Tokens in the smallest window of ``terms`` with one of each wanted term; 0 if one is missing."""
+    last: dict[str, int] = {}
+    best = 0
+    for i, t in enumerate(terms):
+        if t in wanted:
+            last[t] = i
+            if len(last) == len(wanted):
+                width = i - min(last.values()) + 1
+                best = width if not best else min(best, width)
+    return best
+
+
+def _closeness(terms: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, q in zip(terms, wanted, strict=True):
+        found = set(q) & set(t)
+        rows.append((len(found), sum(x in found for x in t), least_window(list(t), found) if found else 0))
+    return pd.DataFrame(rows, columns=["matched", "hits", "width"], dtype="int64")
+
+
 def rerank(candidates: DataFrame, questions: DataFrame, key: str, k: int, text: str = "text", coverage: float = 0.6, proximity: float = 0.25, density: float = 0.15) -> DataFrame:
     """(qid, key, score, rank) of candidates(qid, key, text) by coverage, proximity and density of the question's terms.
 
-    The least window with all matched terms: at every matched place, the last places of all
-    matched terms so far, by a running maximum for each term.
+    The least window is a sweep with state, hence an Arrow UDF; a native form would need a row
+    for each hit and matched term. Candidates without a matched term score 0.
     """
     asked = questions.select("qid", F.array_distinct(analyzed(F.col("question"))).alias("q"))
-    base = candidates.select("qid", key, analyzed(F.col(text)).alias("t")).join(asked, "qid").withColumn("m", F.array_intersect("q", "t"))
-    hits = base.where(F.size("m") > 0).select("qid", key, F.size("m").alias("matched"), F.size("q").alias("asked"), F.size("t").alias("len"), "m", F.posexplode("t").alias("at", "term"))
-    hits = hits.where(F.array_contains("m", F.col("term")))
-    # last place of each matched term up to here, one row per place and term
-    wide = hits.select("qid", key, "matched", "asked", "len", "at", "term", F.explode("m").alias("of"))
-    run = Window.partitionBy("qid", key, "of").orderBy("at")
-    last = wide.withColumn("last", F.max(F.when(F.col("of") == F.col("term"), F.col("at"))).over(run))
-    widths = last.groupBy("qid", key, "matched", "asked", "len", "at").agg(F.min("last").alias("low"), F.count("last").alias("have"))
-    widths = widths.groupBy("qid", key, "matched", "asked", "len").agg(F.count(F.lit(1)).alias("hits"), F.min(F.when(F.col("have") == F.col("matched"), F.col("at") - F.col("low") + 1)).alias("width"))
-    score = coverage * F.col("matched") / F.col("asked") + proximity * F.col("matched") / F.col("width") + density * F.least(F.lit(1.0), 10.0 * F.col("hits") / F.col("len"))
-    scored = candidates.select("qid", key).join(widths.select("qid", key, score.alias("score")), ["qid", key], "left").fillna(0.0, ["score"])
+    base = candidates.select("qid", key, analyzed(F.col(text)).alias("t")).join(asked, "qid")
+    base = base.withColumn("x", F.pandas_udf(_closeness, "matched long, hits long, width long")("t", "q"))
+    x = lambda name: F.col("x").getField(name)
+    score = coverage * x("matched") / F.size("q") + proximity * x("matched") / x("width") + density * F.least(F.lit(1.0), 10.0 * x("hits") / F.size("t"))
+    scored = base.select("qid", key, F.when(x("matched") > 0, score).otherwise(0.0).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.round("score", DIGITS).desc(), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 0))
 
 
 def judged(candidates: DataFrame, questions: DataFrame, key: str, k: int, judge, text: str = "text", cut: int = 1200) -> DataFrame:
     """Reranking by ``judge(question, text) -> 0..10``; a question with any failure falls back to ``rerank``."""
-    import pandas as pd
-
     def run(f: pd.DataFrame) -> pd.DataFrame:
         try:
             return pd.DataFrame({"qid": f["qid"], key: f[key], "score": [float(judge(q, t[:cut])) / 10 for q, t in zip(f["question"], f[text], strict=True)]})

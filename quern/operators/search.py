@@ -35,9 +35,14 @@ def matches(filters: dict, strict_equality: bool = False) -> Column:
     return out
 
 
+def exploded(rows: DataFrame, key: str, terms: Column) -> DataFrame:
+    """(key, len, term) for each term of each row; the size is taken first, so that no row carries the array."""
+    return rows.select(key, terms.alias("t")).withColumn("len", F.size("t")).select(key, "len", F.explode("t").alias("term"))
+
+
 def postings(rows: DataFrame, key: str, terms: Column) -> DataFrame:
     """(term, key, tf, len): occurrences of a term in a row and the row's number of terms."""
-    found = rows.select(key, terms.alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    found = exploded(rows, key, terms)
     return found.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
@@ -65,7 +70,7 @@ def bm25(questions: DataFrame, rows: DataFrame, key: str, k: int, text: str = "t
     stats = corpus_stats(rows, terms)
     asked = questions.select("qid", F.explode(F.array_distinct(analyzed(F.col("question")))).alias("term"))
     wanted = sized(asked.select("term").distinct())
-    found = rows.select(key, terms.alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    found = exploded(rows, key, terms).join(wanted, "term", "left_semi")
     posts = found.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     weighed = posts.join(doc_frequency(posts, stats), "term").join(F.broadcast(stats))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
