@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from quern.llm.words import span_hash, text_slices
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Distinct slices that a worker remembers; then it starts anew.
-CACHE = 400_000
+CACHE = 300_000
 _RAW = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 #: Code points of the property White_Space.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -91,8 +92,8 @@ class Coder:
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.size: list[int] = []
-        self.flat: list[int] = []
+        self.size = array("q")
+        self.flat = array("I")
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes[spans(self.first[ids], self.length[ids])]
@@ -115,10 +116,10 @@ class Coder:
             slot[i] = self.known[int(names[i])] = len(self.size)
             self.size.append(len(ids))
             self.flat.extend(ids)
-        size = np.array(self.size, np.int64)
+        size = np.array(self.size)
         first = np.cumsum(size) - size
         each = slot[back]
-        ids = np.array(self.flat, np.uint32)[spans(first[each], size[each])] if len(each) else np.zeros(0, np.uint32)
+        ids = np.array(self.flat)[spans(first[each], size[each])] if len(each) else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], np.cumsum(size[each])]) if len(each) else np.zeros(1, np.int64)
         bounds = ends[np.searchsorted(begin, offs)]
         if not np.array_equal(self.decode(ids), raw):

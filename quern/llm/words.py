@@ -7,6 +7,8 @@ values, read from one running sum, so no string is ever built.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 20
+
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -36,6 +40,13 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Hand freed memory back: workers are used again by later stages, beside a JVM with its own needs."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -74,6 +85,7 @@ def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int,
         last = max(row + 1, int(np.searchsorted(offs, offs[row] + most, "right")) - 1)
         yield row, last, raw[offs[row] : offs[last]], offs[row : last + 1] - offs[row]
         row = last
+    release()
 
 
 @dataclass
