@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tables import documents
+from quern.llm.tables import bounded_batches, documents
 from quern.llm.words import span_hash, text_slices
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
@@ -165,6 +165,7 @@ def vocabulary(spark: SparkSession, path: str | None):
     """The rank file's bytes (under a megabyte), read on the driver and broadcast, and the pattern."""
     import public_tokenizers
 
+    bounded_batches(spark)
     with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         return spark.sparkContext.broadcast(f.read()), public_tokenizers.PATTERN
 

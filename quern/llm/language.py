@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tables import documents
+from quern.llm.tables import bounded_batches, documents
 from quern.llm.words import mix, text_slices
 
 DIMENSIONS = 1024
@@ -87,6 +87,7 @@ def learned(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.
     At most about ``most`` rows are read, chosen by hash of the key among all rows with a
     language; with fewer, all are. No row with a language gives no language.
     """
+    bounded_batches(labelled.sparkSession)
     usable = labelled.where("lang is not null and text is not null and key is not null")
     total = usable.select("key").count()
     steps = 1 << 20

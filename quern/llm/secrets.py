@@ -262,26 +262,17 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     hits = keep(found_secrets(docs).where(F.size("spans") > 0).groupBy("doc_id").agg(F.max("spans").alias("__spans")), "hits")
 
-    def cut(texts, spans):
-        import pandas as pd
-
-        out = []
-        for text, row in zip(texts, spans, strict=True):
-            if row is not None and text is not None:
-                done, parts = 0, []
-                for s in sorted(row, key=lambda s: (s["start"], s["end"])):
-                    if s["start"] >= done:
-                        parts += [text[done : s["start"]], mark]
-                    done = max(done, s["end"])
-                text = "".join(parts) + text[done:]
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    from quern.llm.tables import small
-
+    rest = F.aggregate(
+        "__spans",
+        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
+        lambda s, x: F.struct(
+            F.when(x["start"] >= s["at"], F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["text"]).alias("text"),
+            F.greatest(s["at"], x["end"]).alias("at"),
+        ),
+        lambda s: F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
+    )
     rows = docs.join(small(hits, hits.count(), 200_000), "doc_id", "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")(F.col("text"), F.col("__spans")))
-    return rows.withColumn("text", text).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

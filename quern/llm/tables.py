@@ -10,8 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows to an Arrow batch where the session has Spark's default of 10,000: whole texts are long,
+#: and a batch is held by the JVM and the Python worker at once.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    bounded_batches(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -52,4 +64,5 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_IDS) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
