@@ -27,7 +27,7 @@ from quern.llm.words import span_hash, text_slices
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Distinct slices that a worker remembers; then it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 _RAW = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 #: Code points of the property White_Space.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

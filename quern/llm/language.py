@@ -68,15 +68,15 @@ def profiles(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     letters = letter_vectors(alphabet)
     once, twice = np.roll(letters, 1, 1), np.roll(letters, 2, 1)
     ends = np.searchsorted(code, np.arange(docs + 1, dtype=np.int64) * size**3)
-    step = 8192
-    vectors = np.empty((len(gram), DIMENSIONS), np.float32)
+    step = 2048
+    vectors = np.empty((len(gram), DIMENSIONS), np.int8)
     for k in range(0, len(gram), step):
         g = gram[k : k + step]
         vectors[k : k + step] = twice[g // size**2] * once[g // size % size] * letters[g % size]
     for d in range(docs):
         lo, hi = ends[d], ends[d + 1]
         for k in range(lo, hi, step):
-            out[d] += count[k : min(hi, k + step)].astype(np.float32) @ vectors[at[k : min(hi, k + step)]]
+            out[d] += count[k : min(hi, k + step)].astype(np.float32) @ vectors[at[k : min(hi, k + step)]].astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=out, where=norm > 0)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
 
