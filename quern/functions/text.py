@@ -52,8 +52,8 @@ def word_spans(docs: DataFrame) -> DataFrame:
 
 def analyzed(text: Column, least: int = 2, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Terms in order, with repeats, without stopwords and short tokens; unstemmed."""
-    stop = F.array(*map(F.lit, stopwords)) if stopwords else None
-    return F.filter(tokens(text), lambda t: (F.length(t) >= least) & (~F.array_contains(stop, t) if stop is not None else F.lit(True)))
+    # isin over literals becomes a hash set; array_contains would compare every word with every stopword
+    return F.filter(tokens(text), lambda t: (F.length(t) >= least) & (~t.isin(*stopwords) if stopwords else F.lit(True)))
 
 
 def collapse_whitespace(text: Column) -> Column:

@@ -16,8 +16,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores when its scan has fewer partitions than they are; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _docs(s, d):
-    return _read(s, d, "documents")
+    return spread(_read(s, d, "documents"))
 
 
 def _questions(s, d):
