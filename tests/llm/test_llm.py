@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import importlib
+import math
 import random
 import re
 from collections import Counter
@@ -211,6 +212,11 @@ def test_sharding(spark, monkeypatch):
         again = sharding.shuffled(sharding.keep(rows.repartition(5), "t"), 40, 1, block_rows).collect()
         assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert sharding.shuffled(sharding.keep(rows.limit(0), "t")).count() == 0
+    monkeypatch.setattr(sharding, "MOST_BLOCKS", 9)
+    for shards in (4, 40):
+        got = sharding.shuffled(sharding.keep(rows, "t"), shards, 1, 7).collect()
+        by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(shards)}
+        assert all(v == list(range(len(v))) and len(v) in (1005 // shards, 1005 // shards + 1) for v in by.values())
 
 
 def test_communication_matrix():
@@ -221,7 +227,27 @@ def test_communication_matrix():
         assert m.sum(1).tolist() == counts and m.sum(0).tolist() == room and (m >= 0).all()
         tally += m
     assert np.abs(tally / 400 - np.outer(counts, room) / 16).max() < 0.3
-    assert sharding._large(np.random.default_rng(0), 2 * 10**9, 10**9, 0) == 0
+
+
+@pytest.mark.parametrize("good, bad, draws", [(7, 9, 5), (30, 4, 20), (1, 500, 300), (400, 600, 500)])
+def test_large_draws_by_exact_weights(good, bad, draws):
+    rng, n = np.random.default_rng(5), 20_000
+    tally = Counter(sharding._large(rng, good, bad, draws) for _ in range(n))
+    law = {k: math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+    assert set(tally) <= set(law)
+    assert all(abs(tally[k] - n * p) < 5 * math.sqrt(n * p) + 5 for k, p in law.items())
+
+
+def test_large_draws_at_their_size():
+    rng = np.random.default_rng(1)
+    assert sharding._large(rng, 2 * 10**9, 10**9, 0) == 0 and sharding._large(rng, 5, 10**10, 10**10 + 5) == 5
+    good, bad, draws = 12_000_000, 5 * 10**10, 25 * 10**9
+    mean = draws * good / (good + bad)
+    sd = math.sqrt(mean * bad / (good + bad) * (good + bad - draws) / (good + bad))
+    z = [(sharding._large(rng, good, bad, draws) - mean) / sd for _ in range(400)]
+    assert abs(np.mean(z)) < 0.2 and abs(np.std(z) - 1) < 0.15
+    room = np.full(40, 10**9)
+    assert sharding.spread(rng, room, 17 * 10**9).sum() == 17 * 10**9
 
 
 def test_passages(spark, empty):
