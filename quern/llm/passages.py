@@ -97,3 +97,18 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir))
+
+
+#: A unit: words without an end mark and white space without a line end, then a last word.
+_UNIT = r"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+)*[^\x20\x09-\x0D]+"
+OP6_SQL = rf"""
+WITH cut AS (SELECT DISTINCT doc_id, regexp_extract_all(text, '{_UNIT}') AS u, string_split_regex(text, '{_UNIT}') AS g FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+parts AS (SELECT doc_id, generate_subscripts(u, 1) AS i, unnest(u) AS t, unnest(g[1:len(u)]) AS gap FROM cut),
+placed AS (SELECT doc_id, t, sum(len(gap) + len(t)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM parts),
+named AS (SELECT doc_id, stop - len(t) AS start, stop, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words,
+    translate(regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS name FROM placed),
+units AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS unit, min((doc_id, start)) OVER (PARTITION BY name) AS kept FROM named WHERE n_words >= {LEAST_UNIT}),
+again AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM units WHERE (doc_id, start) <> kept)
+SELECT doc_id, min(start)::INT AS start, max(stop)::INT AS "end", count(*)::BIGINT AS n_units, sum(n_words)::BIGINT AS n_words, arg_min(kept[1], unit)::BIGINT AS kept_doc_id, arg_min(kept[2], unit)::INT AS kept_start
+FROM again GROUP BY doc_id, run HAVING sum(n_words) >= {LEAST_RUN}
+"""

@@ -19,7 +19,9 @@ QUERIES = {
 
 #: The others cannot be put in SQL; their tests hold them against brute force.
 ORACLES = {
+    "op1_minhash_near_dedup": minhash.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op4_url_filter": urls.OP4_SQL,
+    "op6_substring_dedup": passages.OP6_SQL,
     "op10_embedding_near_dedup": embeddings.OP10_SQL,
 }
