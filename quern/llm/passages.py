@@ -1,12 +1,12 @@
-"""Repeated passages: lines, cut further at sentence ends, hashed and grouped over all documents.
-
-Passages are spliced into lines, so a whole line seldom repeats; its sentences do. A unit is a
-stretch of words up to a line end or a word that ends in . ! or ?. It is normalised (A-Z
-lower-cased, white space between words ignored) and hashed to 128 bits. Units of less than
-LEAST_UNIT words are too common to tell anything and take part only inside a run. A unit is a
-repeat if the same digest stands earlier, by (doc_id, start), in any document. Runs of
-neighbouring repeats of LEAST_RUN words or more are removed, with offsets into the text as it
-was; the earliest occurrence stays.
+"""Repeated passages: stretches of lines, hashed and grouped over all documents.
+
+Passages are spliced into lines and sentences, so whole ones seldom repeat. Texts are cut at line
+ends, after words that end in . ! or ? and after anchor words, a quarter of all words, so that a
+passage is cut alike wherever it stands. From each cut a unit goes on to the first cut that
+leaves it LEAST words or more, and to each cut one comes from the last such; units overlap. A unit is normalised (A-Z lower-cased, white space between
+words ignored) and hashed to 128 bits. It is a repeat if the same digest stands earlier, by
+(doc_id, start), in any document, and does not overlap itself there. Repeats that touch are removed
+as one stretch, with offsets into the text as it was; the earliest occurrence stays.
 """
 
 from __future__ import annotations
@@ -19,15 +19,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.tables import documents, keep, small
-from quern.llm.words import mix, span_hash, text_slices, words
+from quern.llm.words import Words, mix, span_hash, text_slices, words
 
-LEAST_UNIT, LEAST_RUN = 3, 20
+#: Words to a unit, at least.
+LEAST = 20
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
 
-def units(docs: DataFrame, least_unit: int = LEAST_UNIT) -> DataFrame:
-    """doc_id, unit (its number among the document's units of enough words), start, end in code points, n_words and digest d1, d2."""
+def anchors(raw: np.ndarray, w: Words) -> np.ndarray:
+    """Words whose code points, A-Z lower-cased, add up to a multiple of 4: by the low bits of each character's last byte."""
+    final = np.ones(len(raw), bool)
+    final[:-1] = (raw[1:] & 0xC0) != 0x80
+    run = np.concatenate([[0], np.cumsum(np.where(final, raw & 3, 0), dtype=np.int64)])
+    return (run[w.end] - run[w.start]) % 4 == 0
+
+
+def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, start, end in code points, first and last in words (end and last exclusive), and digest d1, d2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,27 +47,32 @@ def units(docs: DataFrame, least_unit: int = LEAST_UNIT) -> DataFrame:
                 if not n:
                     continue
                 lines = np.cumsum(raw == 10)
-                last = np.ones(n, bool)
-                last[:-1] = _END[raw[w.end[:-1] - 1]] | (w.doc[1:] != w.doc[:-1]) | (lines[w.start[1:]] != lines[w.start[:-1]])
-                end = np.flatnonzero(last) + 1
+                cut = anchors(raw, w) | _END[raw[w.end - 1]]
+                cut[:-1] |= (w.doc[1:] != w.doc[:-1]) | (lines[w.start[1:]] != lines[w.start[:-1]])
+                cut[-1] = True
+                end = np.flatnonzero(cut) + 1
                 begin = np.concatenate([[0], end[:-1]])
-                enough = end - begin >= least_unit
-                begin, end = begin[enough], end[enough]
+                to, back = np.searchsorted(end, begin + least), np.searchsorted(begin, end - least, "right") - 1
+                ahead, behind = to < len(end), back >= 0
+                both = np.concatenate([begin[ahead] * (n + 1) + end[to[ahead]], begin[back[behind]] * (n + 1) + end[behind]])
+                begin, end = np.divmod(np.unique(both), n + 1)
+                whole = w.doc[begin] == w.doc[end - 1]
+                begin, end = begin[whole], end[whole]
                 doc = w.doc[begin]
-                first = np.searchsorted(doc, np.arange(len(offs) - 1))
                 point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                 base = point[offs[:-1]][doc]
                 digests = (span_hash(w.hash, begin, end), span_hash(mix(w.hash, 31), begin, end))
+                places = (point[w.start[begin]] - base, point[w.end[end - 1]] - base, begin - w.first[doc], end - w.first[doc])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo + doc].astype(np.int64)), pa.array((np.arange(len(doc)) - first[doc]).astype(np.int32)), *(pa.array((point[x] - base).astype(np.int32)) for x in (w.start[begin], w.end[end - 1])), pa.array((end - begin).astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digests)],
-                    ["doc_id", "unit", "start", "end", "n_words", "d1", "d2"],
+                    [pa.array(ids[lo + doc].astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in places), *(pa.array(d.view(np.int64)) for d in digests)],
+                    ["doc_id", "start", "end", "first", "last", "d1", "d2"],
                 )
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, unit int, start int, end int, n_words int, d1 long, d2 long")
+    return rows.mapInArrow(run, "doc_id long, start int, end int, first int, last int, d1 long, d2 long")
 
 
-def repeats(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAST_RUN) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """A row per removed stretch: doc_id, start, end, n_units, n_words, kept_doc_id, kept_start.
 
     kept_doc_id and kept_start are where the stretch's first unit stays. Documents without
@@ -66,20 +80,20 @@ def repeats(docs: DataFrame, least_unit: int = LEAST_UNIT, least_run: int = LEAS
     doc_id should share the text; equal rows count as one.
     """
     # the whole table is hashed twice rather than kept: a unit is as long on disk as its words
-    found = units(docs, least_unit)
+    found = units(docs, least)
     # the earliest occurrence of what occurs twice; copies within a document are met map-side
     shared = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = keep(shared, "shared")
-    again = found.join(shared, ["d1", "d2"])
-    again = keep(again, "again")
-    kept = again.where("doc_id = kept_doc_id").groupBy("d1", "d2").agg(F.min("start").alias("kept_start"))
-    flagged = again.join(kept, ["d1", "d2"]).where("doc_id <> kept_doc_id or start <> kept_start").drop("d1", "d2").distinct()
-    in_order = Window.partitionBy("doc_id").orderBy("unit")
-    runs = flagged.withColumn("run", F.col("unit") - F.row_number().over(in_order)).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("n_words").alias("n_words"),
-        F.min(F.struct("unit", "kept_doc_id", "kept_start")).alias("at"),
+    again = keep(found.join(shared, ["d1", "d2"]), "again")
+    kept = again.where("doc_id = kept_doc_id").groupBy("d1", "d2").agg(F.min("start").alias("kept_start"), F.min("end").alias("kept_end"))
+    flagged = again.join(kept, ["d1", "d2"]).where("doc_id <> kept_doc_id or start >= kept_end").drop("d1", "d2", "kept_end").distinct()
+    before = Window.partitionBy("doc_id").orderBy("first", "last")
+    apart = F.coalesce((F.col("first") > F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    runs = flagged.withColumn("apart", apart).withColumn("run", F.sum("apart").over(before)).groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), (F.max("last") - F.min("first")).cast("long").alias("n_words"),
+        F.min(F.struct("first", "kept_doc_id", "kept_start")).alias("at"),
     )
-    return runs.where(F.col("n_words") >= least_run).select("doc_id", "start", "end", "n_units", "n_words", "at.kept_doc_id", "at.kept_start")
+    return runs.select("doc_id", "start", "end", "n_units", "n_words", "at.kept_doc_id", "at.kept_start")
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -99,16 +113,21 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir))
 
 
-#: A unit: words without an end mark and white space without a line end, then a last word.
-_UNIT = r"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+)*[^\x20\x09-\x0D]+"
 OP6_SQL = rf"""
-WITH cut AS (SELECT DISTINCT doc_id, regexp_extract_all(text, '{_UNIT}') AS u, string_split_regex(text, '{_UNIT}') AS g FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-parts AS (SELECT doc_id, generate_subscripts(u, 1) AS i, unnest(u) AS t, unnest(g[1:len(u)]) AS gap FROM cut),
-placed AS (SELECT doc_id, t, sum(len(gap) + len(t)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM parts),
-named AS (SELECT doc_id, stop - len(t) AS start, stop, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words,
-    translate(regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS name FROM placed),
-units AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS unit, min((doc_id, start)) OVER (PARTITION BY name) AS kept FROM named WHERE n_words >= {LEAST_UNIT}),
-again AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM units WHERE (doc_id, start) <> kept)
-SELECT doc_id, min(start)::INT AS start, max(stop)::INT AS "end", count(*)::BIGINT AS n_units, sum(n_words)::BIGINT AS n_words, arg_min(kept[1], unit)::BIGINT AS kept_doc_id, arg_min(kept[2], unit)::INT AS kept_start
-FROM again GROUP BY doc_id, run HAVING sum(n_words) >= {LEAST_RUN}
+WITH cut AS (SELECT DISTINCT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split_regex(text, '[^\x20\x09-\x0D]+') AS g FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+names AS (SELECT doc_id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS names FROM cut),
+parts AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t, unnest(g[1:len(w)]) AS gap FROM cut),
+seen AS (SELECT doc_id, i, t, list_sum(list_transform(string_split(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), lambda c: unicode(c))) % 4 = 0 OR suffix(t, '.') OR suffix(t, '!') OR suffix(t, '?')
+    OR coalesce(contains(lead(gap) OVER d, chr(10)), true) AS cut, sum(len(gap) + len(t)) OVER d AS stop FROM parts WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ends AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), true) AS begins, min(CASE WHEN cut THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM seen),
+lasts AS (SELECT *, max(CASE WHEN begins THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM ends),
+spans AS (SELECT doc_id, cut, begins, i, lead(next, {LEAST - 1}) OVER d AS j, lag(prev, {LEAST - 1}) OVER d AS h FROM lasts WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (SELECT doc_id, i, j FROM spans WHERE begins AND j IS NOT NULL UNION SELECT doc_id, h, i FROM spans WHERE cut AND h IS NOT NULL),
+units AS (SELECT p.doc_id, p.i, p.j, b.stop - len(b.t) AS start, e.stop, array_to_string(n.names[p.i:p.j], ' ') AS name FROM pairs p JOIN ends b ON b.doc_id = p.doc_id AND b.i = p.i JOIN ends e ON e.doc_id = p.doc_id AND e.i = p.j JOIN names n ON n.doc_id = p.doc_id),
+earliest AS (SELECT name, min((doc_id, start, stop)) AS kept FROM units GROUP BY name HAVING count(*) > 1),
+flagged AS (SELECT u.*, kept, coalesce(i - 1 > max(j) OVER (PARTITION BY doc_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS apart
+    FROM units u JOIN earliest USING (name) WHERE doc_id <> kept[1] OR start >= kept[3]),
+runs AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS run FROM flagged)
+SELECT doc_id, min(start)::INT AS start, max(stop)::INT AS "end", count(*)::BIGINT AS n_units, (max(j) - min(i) + 1)::BIGINT AS n_words, min((i, kept[1], kept[2]))[2]::BIGINT AS kept_doc_id, min((i, kept[1], kept[2]))[3]::INT AS kept_start
+FROM runs GROUP BY doc_id, run
 """

@@ -250,20 +250,48 @@ def test_large_draws_at_their_size():
     assert sharding.spread(rng, room, 17 * 10**9).sum() == 17 * 10**9
 
 
+def repeats_by_definition(rows, least=20):
+    """{(doc_id, start, end)} of removed stretches, and for each document the words that they cover."""
+    low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    found = []
+    for d, t in sorted({r for r in rows if r[0] is not None and r[1]}):
+        w = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+        cut = [0] + [i + 1 for i, m in enumerate(w) if i + 1 == len(w) or m[0][-1] in ".!?" or sum(map(ord, low(m[0]))) % 4 == 0 or "\n" in t[m.end() : w[i + 1].start()]]
+        pairs = {(i, next((c for c in cut if c >= i + least), None)) for i in cut} | {(max((c for c in cut if c <= j - least), default=None), j) for j in cut}
+        found += [(tuple(low(m[0]) for m in w[i:j]), d, w[i].start(), w[j - 1].end()) for i, j in pairs if i is not None and j is not None]
+    kept = {}
+    for name, d, a, b in sorted(found, key=lambda x: x[1:]):
+        kept.setdefault(name, (d, a, b))
+    out = []
+    for name, d, a, b in sorted(found, key=lambda x: x[1:]):
+        if d != kept[name][0] or a >= kept[name][2]:
+            if out and out[-1][0] == d and not words_of(dict(rows)[d][out[-1][2] : max(a, out[-1][2])]):
+                out[-1] = (d, out[-1][1], max(b, out[-1][2]))
+            else:
+                out.append((d, a, b))
+    return set(out)
+
+
 def test_passages(spark, empty):
     rng = random.Random(9)
     sentence = lambda n: " ".join(f"s{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."
     shared = " ".join(sentence(9) for _ in range(7))
+    bare = " ".join(f"é{rng.randrange(10**6)}" for _ in range(60))
     own = [" ".join(sentence(8) for _ in range(4)) for _ in range(5)]
     rows = [(4, own[0] + "\nÉté " + shared + " tail here"), (2, "Lead in words " + shared + " " + own[1]), (9, own[2] + " The. Of. A."), (7, own[3] + " The. Of. A."), (1, None), (3, ""), (None, shared)]
+    rows += [(5, f"before it {bare} after it all"), (6, f"other words {bare.upper().replace('É', 'é')}\nand more"), (8, "over and over " * 60), (10, own[4] + "\n" + own[4]), (11, "x" * 50_000 + " " + own[4]), (12, "short text")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d1", F.lit("clash"))
     got = passages.repeats(docs).collect()
-    assert [(r.doc_id, r.kept_doc_id) for r in got] == [(4, 2)]
-    text = dict(rows)[4]
-    assert text[got[0].start : got[0].end] == shared.split(". ", 1)[1] and got[0].n_words == 54
+    text = dict(rows)
+    assert {(r.doc_id, r.start, r.end) for r in got} == repeats_by_definition(rows) and len(got) == len({(r.doc_id, r.start) for r in got})
+    by = {r.doc_id: r for r in got}
+    assert set(by) == {4, 6, 8, 10, 11} and (by[4].kept_doc_id, by[6].kept_doc_id, by[8].kept_doc_id, by[10].kept_doc_id, by[11].kept_doc_id) == (2, 5, 8, 10, 10)
+    assert all(r.n_words == len(words_of(text[r.doc_id][r.start : r.end])) for r in got)
+    assert text[4][by[4].start : by[4].end] in shared and by[4].n_words >= 54 and by[6].n_words >= 40
+    assert by[8].start >= 20 * 4 and by[10].start == len(own[4]) + 1
     cut = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
-    assert cut[4] == text[: got[0].start] + text[got[0].end :] and cut[2] == dict(rows)[2] and cut[1] is None
-    assert passages.repeats(docs.union(docs)).count() == 1 and passages.repeats(empty).count() == 0
+    assert all(cut[d] == text[d][: r.start] + text[d][r.end :] for d, r in by.items()) and all(cut[d] == text[d] for d in text if d and d not in by)
+    assert passages.repeats(docs.union(docs)).count() == len(got) and passages.repeats(empty).count() == 0
 
 
 PATTERNS = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
