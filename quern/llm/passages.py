@@ -1,9 +1,9 @@
 """Repeated passages: stretches of lines, hashed and grouped over all documents.
 
 Passages are spliced into lines and sentences, so whole ones seldom repeat. Texts are cut at line
-ends, after words that end in . ! or ? and after anchor words, a quarter of all words, so that a
+ends, after words that end in . ! or ? and after anchor words, a quarter of all, so that a
 passage is cut alike wherever it stands. From each cut a unit goes on to the first cut that
-leaves it LEAST words or more, and to each cut one comes from the last such; units overlap. A unit is normalised (A-Z lower-cased, white space between
+leaves it LEAST words or more; units overlap. A unit is normalised (A-Z lower-cased, white space between
 words ignored) and hashed to 128 bits. It is a repeat if the same digest stands earlier, by
 (doc_id, start), in any document, and does not overlap itself there. Repeats that touch are removed
 as one stretch, with offsets into the text as it was; the earliest occurrence stays.
@@ -23,16 +23,18 @@ from quern.llm.words import Words, mix, span_hash, text_slices, words
 
 #: Words to a unit, at least.
 LEAST = 20
+#: One word in so many is an anchor; a power of two up to 64.
+RATE = 4
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
 
 def anchors(raw: np.ndarray, w: Words) -> np.ndarray:
-    """Words whose code points, A-Z lower-cased, add up to a multiple of 4: by the low bits of each character's last byte."""
+    """Words whose code points, A-Z lower-cased, add up to a multiple of RATE: by the low bits of each character's last byte."""
     final = np.ones(len(raw), bool)
     final[:-1] = (raw[1:] & 0xC0) != 0x80
-    run = np.concatenate([[0], np.cumsum(np.where(final, raw & 3, 0), dtype=np.int64)])
-    return (run[w.end] - run[w.start]) % 4 == 0
+    run = np.concatenate([[0], np.cumsum(np.where(final, raw & (RATE - 1), 0), dtype=np.int64)])
+    return (run[w.end] - run[w.start]) % RATE == 0
 
 
 def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -52,10 +54,9 @@ def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 cut[-1] = True
                 end = np.flatnonzero(cut) + 1
                 begin = np.concatenate([[0], end[:-1]])
-                to, back = np.searchsorted(end, begin + least), np.searchsorted(begin, end - least, "right") - 1
-                ahead, behind = to < len(end), back >= 0
-                both = np.concatenate([begin[ahead] * (n + 1) + end[to[ahead]], begin[back[behind]] * (n + 1) + end[behind]])
-                begin, end = np.divmod(np.unique(both), n + 1)
+                to = np.searchsorted(end, begin + least)
+                full = to < len(end)
+                begin, end = begin[full], end[to[full]]
                 whole = w.doc[begin] == w.doc[end - 1]
                 begin, end = begin[whole], end[whole]
                 doc = w.doc[begin]
@@ -117,12 +118,11 @@ OP6_SQL = rf"""
 WITH cut AS (SELECT DISTINCT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split_regex(text, '[^\x20\x09-\x0D]+') AS g FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 names AS (SELECT doc_id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS names FROM cut),
 parts AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t, unnest(g[1:len(w)]) AS gap FROM cut),
-seen AS (SELECT doc_id, i, t, list_sum(list_transform(string_split(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), lambda c: unicode(c))) % 4 = 0 OR suffix(t, '.') OR suffix(t, '!') OR suffix(t, '?')
+seen AS (SELECT doc_id, i, t, list_sum(list_transform(string_split(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), lambda c: unicode(c))) % {RATE} = 0 OR suffix(t, '.') OR suffix(t, '!') OR suffix(t, '?')
     OR coalesce(contains(lead(gap) OVER d, chr(10)), true) AS cut, sum(len(gap) + len(t)) OVER d AS stop FROM parts WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 ends AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), true) AS begins, min(CASE WHEN cut THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM seen),
-lasts AS (SELECT *, max(CASE WHEN begins THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM ends),
-spans AS (SELECT doc_id, cut, begins, i, lead(next, {LEAST - 1}) OVER d AS j, lag(prev, {LEAST - 1}) OVER d AS h FROM lasts WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-pairs AS (SELECT doc_id, i, j FROM spans WHERE begins AND j IS NOT NULL UNION SELECT doc_id, h, i FROM spans WHERE cut AND h IS NOT NULL),
+spans AS (SELECT doc_id, begins, i, lead(next, {LEAST - 1}) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM ends),
+pairs AS (SELECT doc_id, i, j FROM spans WHERE begins AND j IS NOT NULL),
 units AS (SELECT p.doc_id, p.i, p.j, b.stop - len(b.t) AS start, e.stop, array_to_string(n.names[p.i:p.j], ' ') AS name FROM pairs p JOIN ends b ON b.doc_id = p.doc_id AND b.i = p.i JOIN ends e ON e.doc_id = p.doc_id AND e.i = p.j JOIN names n ON n.doc_id = p.doc_id),
 earliest AS (SELECT name, min((doc_id, start, stop)) AS kept FROM units GROUP BY name HAVING count(*) > 1),
 flagged AS (SELECT u.*, kept, coalesce(i - 1 > max(j) OVER (PARTITION BY doc_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS apart
