@@ -3,7 +3,7 @@
 Passages are spliced into lines and sentences, so whole ones seldom repeat. Texts are cut at line
 ends, after words that end in . ! or ? and after anchor words, a quarter of all, so that a
 passage is cut alike wherever it stands. From each cut a unit goes on to the first cut that
-leaves it LEAST words or more; units overlap. A unit is normalised (A-Z lower-cased, white space between
+leaves it LEAST words or more, and to each cut one comes from the last such; units overlap. A unit is normalised (A-Z lower-cased, white space between
 words ignored) and hashed to 128 bits. It is a repeat if the same digest stands earlier, by
 (doc_id, start), in any document, and does not overlap itself there. Repeats that touch are removed
 as one stretch, with offsets into the text as it was; the earliest occurrence stays.
@@ -54,9 +54,10 @@ def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 cut[-1] = True
                 end = np.flatnonzero(cut) + 1
                 begin = np.concatenate([[0], end[:-1]])
-                to = np.searchsorted(end, begin + least)
-                full = to < len(end)
-                begin, end = begin[full], end[to[full]]
+                to, back = np.searchsorted(end, begin + least), np.searchsorted(begin, end - least, "right") - 1
+                ahead, behind = to < len(end), back >= 0
+                pairs = [(begin[ahead], end[to[ahead]]), (begin[back[behind]], end[behind])]
+                begin, end = np.divmod(np.unique(np.concatenate([a * (n + 1) + b for a, b in pairs])), n + 1)
                 whole = w.doc[begin] == w.doc[end - 1]
                 begin, end = begin[whole], end[whole]
                 doc = w.doc[begin]
@@ -80,14 +81,16 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     repeats have no row; nor have null and empty texts and null doc_ids. Rows that share a
     doc_id should share the text; equal rows count as one.
     """
-    # the whole table is hashed twice rather than kept: a unit is as long on disk as its words
-    found = units(docs, least)
-    # the earliest occurrence of what occurs twice; copies within a document are met map-side
-    shared = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = keep(shared, "shared")
-    again = keep(found.join(shared, ["d1", "d2"]), "again")
-    kept = again.where("doc_id = kept_doc_id").groupBy("d1", "d2").agg(F.min("start").alias("kept_start"), F.min("end").alias("kept_end"))
-    flagged = again.join(kept, ["d1", "d2"]).where("doc_id <> kept_doc_id or start >= kept_end").drop("d1", "d2", "kept_end").distinct()
+    # one exchange of all units: a unit is as long on disk as its words, so places go two to a long
+    pack = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
+    high, low = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    found = units(docs, least).select("d1", "d2", "doc_id", pack("start", "first").alias("at"), pack("end", "last").alias("to"))
+    same = Window.partitionBy("d1", "d2")
+    # the earliest occurrence of what occurs twice
+    found = found.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("kept", F.min(F.struct("doc_id", "at", "to")).over(same)).where("n > 1")
+    again = found.where((F.col("doc_id") != F.col("kept.doc_id")) | (high("at") >= high("kept.to")))
+    flagged = again.select("doc_id", high("at").alias("start"), high("to").alias("end"), low("at").alias("first"), low("to").alias("last"), F.col("kept.doc_id").alias("kept_doc_id"), high("kept.at").alias("kept_start"))
+    flagged = flagged.repartition("doc_id").distinct()
     before = Window.partitionBy("doc_id").orderBy("first", "last")
     apart = F.coalesce((F.col("first") > F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     runs = flagged.withColumn("apart", apart).withColumn("run", F.sum("apart").over(before)).groupBy("doc_id", "run").agg(
