@@ -1,9 +1,10 @@
-"""Repeated passages: stretches of lines, hashed and grouped over all documents.
+"""Repeated passages: lines, paragraphs and stretches of them, hashed and grouped over all documents.
 
 Passages are spliced into lines and sentences, so whole ones seldom repeat. Texts are cut at line
 ends, after words that end in . ! or ? and after anchor words, a quarter of all, so that a
 passage is cut alike wherever it stands. From each cut a unit goes on to the first cut that
-leaves it LEAST words or more, and to each cut one comes from the last such; units overlap. A unit is normalised (A-Z lower-cased, white space between
+leaves it LEAST words or more, and to each cut one comes from the last such; units overlap. Every
+whole line and paragraph (up to a blank line) is a unit too, of any length. A unit is normalised (A-Z lower-cased, white space between
 words ignored) and hashed to 128 bits. It is a repeat if the same digest stands earlier, by
 (doc_id, start), in any document, and does not overlap itself there. Repeats that touch are removed
 as one stretch, with offsets into the text as it was; the earliest occurrence stays.
@@ -50,13 +51,18 @@ def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     continue
                 lines = np.cumsum(raw == 10)
                 cut = anchors(raw, w) | _END[raw[w.end - 1]]
-                cut[:-1] |= (w.doc[1:] != w.doc[:-1]) | (lines[w.start[1:]] != lines[w.start[:-1]])
+                other = w.doc[1:] != w.doc[:-1]
+                passed = lines[w.start[1:]] - lines[w.start[:-1]]
+                cut[:-1] |= other | (passed > 0)
                 cut[-1] = True
                 end = np.flatnonzero(cut) + 1
                 begin = np.concatenate([[0], end[:-1]])
                 to, back = np.searchsorted(end, begin + least), np.searchsorted(begin, end - least, "right") - 1
                 ahead, behind = to < len(end), back >= 0
                 pairs = [(begin[ahead], end[to[ahead]]), (begin[back[behind]], end[behind])]
+                for much in (1, 2):  # lines, paragraphs
+                    edges = np.concatenate([[0], np.flatnonzero(other | (passed >= much)) + 1, [n]])
+                    pairs.append((edges[:-1], edges[1:]))
                 begin, end = np.divmod(np.unique(np.concatenate([a * (n + 1) + b for a, b in pairs])), n + 1)
                 whole = w.doc[begin] == w.doc[end - 1]
                 begin, end = begin[whole], end[whole]

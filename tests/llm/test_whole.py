@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quern.llm import passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,3 +45,16 @@ def test_copies_and_passages_go_to_their_ends(spark):
     assert set(got) == repeats_by_definition(rows)
     assert next(n for (d, _, _), n in got.items() if d == 4) >= 54
     assert {k for k in got if k[0] >= 100} == {(d, 0, len(t)) for d, t in rows if d >= 100}
+
+
+def test_short_lines_paragraphs_and_documents(spark):
+    rng = random.Random(3)
+    fresh = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(i, f"{fresh(30)}\nAll rights reserved.\n{fresh(4)}\r\n  Über UNS \n\n{fresh(25)}") for i in range(1, 9)]
+    rows += [(20, "a b c\nd e"), (21, "a b c d e"), (22, "x\n\na  b\nc d e\n\ny"), (30, "three short words"), (31, "Three short words"), (32, None), (33, " \n\n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    got = passages.repeats(docs).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got} == repeats_by_definition(rows)
+    cut = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
+    assert all("reserved" in cut[i] and "UNS" in cut[i] for i in (1,)) and not any("reserved" in cut[i] or "UNS" in cut[i] for i in range(2, 9))
+    assert (cut[21], cut[22], cut[30], cut[31]) == ("", "x\n\n\n\ny", "three short words", "")
