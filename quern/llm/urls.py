@@ -13,6 +13,14 @@ STRICT = ("spam-farm", "cheap-pills", "porn", "xxx", "viagra", "warez", "phishin
 #: ``SOFT_HITS`` different ones of these reject it.
 SOFT = ("cheap", "pills", "free", "bonus", "bet", "poker", "casino", "adult", "dating", "loan", "prize", "winner", "click", "discount", "replica", "torrent")
 SOFT_HITS = 2
+#: Other forms of soft terms; a term counts once in whatever forms.
+FORMS = {
+    "pills": ("pill",), "bonus": ("bonuses",), "bet": ("bets", "betting", "bettor", "bettors"), "casino": ("casinos",), "adult": ("adults",), "loan": ("loans",), "prize": ("prizes",),
+    "winner": ("winners", "win", "wins", "winning", "winnings"), "click": ("clicks",), "discount": ("discounts", "discounted"), "replica": ("replicas",), "torrent": ("torrents",),
+}
+#: Strict and soft in the host only: paths and queries of clean hosts hold them too. Forms of one soft term in a row.
+HOST_STRICT = ("casino", "casinos", "adult", "adults")
+HOST_SOFT = (("ads", "adserver", "adservers", "advert", "adverts"), ("track", "tracks", "tracker", "trackers", "tracking"))
 #: (host, path, verdict); the longest that fits wins.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
@@ -49,20 +57,30 @@ def vocabulary_hits(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SO
         import ahocorasick
 
         if not machine:
+            # term: [(strict 0 or soft 1, what it counts as, in the host only)]
+            means: dict[str, list] = {}
+            anywhere = [(0, t, t) for t in strict] + [(1, t, form) for t in soft for form in (t, *FORMS.get(t, ()))]
+            for kind, name, form in anywhere:
+                means.setdefault(form, []).append((kind, name, False))
+            for kind, name, form in [(0, t, t) for t in HOST_STRICT] + [(1, row[0], form) for row in HOST_SOFT for form in row]:
+                means.setdefault(form, []).append((kind, name, True))
             built = ahocorasick.Automaton()
-            for kind, terms in enumerate((strict, soft)):
-                for term in terms:
-                    built.add_word(term, (kind, term))
+            for term, said in means.items():
+                built.add_word(term, (term, said))
             built.make_automaton()
             machine.append(built)
         out = []
         for url in urls:
             found: tuple[set, set] = (set(), set())
             low = (url or "").translate(_LOWER)
-            for end, (kind, term) in machine[0].iter(low):
+            at = low.find("://") + 3
+            to = at + len(re.split("[/?#]", low[at:], maxsplit=1)[0]) if at > 2 else -1
+            for end, (term, said) in machine[0].iter(low):
                 start = end + 1 - len(term)
                 if (start == 0 or not _inner(low[start - 1])) and (end + 1 == len(low) or not _inner(low[end + 1])):
-                    found[kind].add(term)
+                    for kind, name, hosts in said:
+                        if not hosts or at <= start and end < to:
+                            found[kind].add(name)
             out.append((len(found[0]), len(found[1])))
         return pd.DataFrame(out, columns=["strict", "soft"], dtype="int64")
 

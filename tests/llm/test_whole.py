@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quern.llm import passages
+from quern.llm import passages, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,3 +58,10 @@ def test_short_lines_paragraphs_and_documents(spark):
     cut = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
     assert all("reserved" in cut[i] and "UNS" in cut[i] for i in (1,)) and not any("reserved" in cut[i] or "UNS" in cut[i] for i in range(2, 9))
     assert (cut[21], cut[22], cut[30], cut[31]) == ("", "x\n\n\n\ny", "three short words", "")
+
+
+def test_bad_hosts_and_clean_ones(spark):
+    bad = ["http://m.casino-win.se/a", "https://free-bets.se", "http://blog.adult-x.se/?q", "https://m.ads-track.se#t", "http://Best-CASINOS.se/", "http://bet-wins.se/", "http://tracking.adserver.se/"]
+    clean = ["http://windows.se/casino-royale", "http://alphabets.se/adult-education", "http://soundtrack.se/ads/track", "http://news.se/?track=ads", "http://trackpads.se/win", "http://free-tibet.se/", "http://bet.se/bets-betting", "casino", "http://x.se/http://casino.se"]
+    pages = spark.createDataFrame([(u,) for u in bad + clean], "url string")
+    assert {r.url for r in urls.judged(pages).collect() if r.verdict == "block"} == set(bad)
