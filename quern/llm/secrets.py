@@ -3,8 +3,9 @@
 The patterns' values are the labelled credentials. Their prefix tree over character classes is
 reduced by merging states whose frequencies a Hoeffding bound cannot tell apart (ALERGIA), which
 leaves a probabilistic automaton of credential formats. Ordinary long strings give a background
-chain over the same classes. Every other long string is scored by its log likelihood under the
-automaton less that under the background; those above a threshold from the samples are added.
+chain over the same classes. Every other string of 8 characters or more is scored by its log likelihood
+under the automaton less that under the background. The threshold is a low quantile of the credentials'
+own scores; ordinary strings that reach it may be unlabelled credentials and leave the background.
 """
 
 from __future__ import annotations
@@ -16,27 +17,31 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tables import documents, keep, small
+from quern.llm.tables import documents, keep
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX_RUN = re.compile(rb"[0-9a-f]{32,}")
-STRING = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
+STRING = re.compile(rb"[A-Za-z0-9+/_.=-]{8,}")
 KINDS = ("assign", "access", "hex", "format")
 #: Labelled credentials and ordinary strings that the models are fitted on, at most; the ones with the least hashes.
 SAMPLE = 2_000
 #: ALERGIA's confidence parameter.
 ALPHA = 0.05
-#: Share of ordinary strings that may score above the threshold, and of credentials that may fall below it.
-TAIL = 0.001
+#: Share of the labelled credentials that may fall below the threshold.
+TAIL = 0.01
+#: Judged class sequences that a task remembers.
+HELD = 200_000
 
 _CLASS = np.full(256, 7, np.uint8)
 for _k, _chars in enumerate((b"0123456789", b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ", b"_-", b".")):
     _CLASS[list(_chars)] = _k
+_SHAPE = _CLASS.tobytes()
 CLASSES, END = 8, 8
 #: Characters to a class, for the likelihood of one of them.
 _SPREAD = np.log(np.array([10, 6, 20, 6, 20, 2, 1, 3, 1], float))
@@ -141,9 +146,14 @@ class Formats:
 
     def __init__(self, credentials: list[bytes], ordinary: list[bytes]):
         self.machine, self.ground = Automaton(credentials), Chain(ordinary)
-        plain = [self.likeness(w) for w in ordinary]
-        own = [self.likeness(w) for w in credentials]
-        self.least = max([0.0, *(np.quantile(x, q) for x, q in ((plain, 1 - TAIL), (own, TAIL)) if x)])
+        for _ in range(10):
+            self.least = max([0.0, *([np.quantile([self.likeness(w) for w in credentials], TAIL)] if credentials else [])])
+            # half the strings stay, whatever they score
+            plain = sorted(ordinary, key=lambda w: (self.likeness(w), w))
+            clean = [w for i, w in enumerate(plain) if 2 * i < len(plain) or not self.fits(w)]
+            if len(clean) == len(ordinary):
+                break
+            ordinary, self.ground = clean, Chain(clean)
 
     def likeness(self, w: bytes) -> float:
         return (self.machine.score(w) - self.ground.score(w)) / (len(w) + 1)
@@ -164,89 +174,83 @@ def _name(w: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, base spans, other long strings with a digit and a letter, and a share of the samples.
-
-    ``base`` holds kind, start and end, ``others`` start, end and the string, both in code
-    points. ``sample`` holds, on a task's last row, its credentials (1) and ordinary strings (0)
-    with the least hashes.
-    """
-    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    other = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("string", pa.string())]))
-    sample = pa.list_(pa.struct([("label", pa.int32()), ("name", pa.int64()), ("string", pa.string())]))
+def sampled(docs: DataFrame) -> DataFrame:
+    """label, name, string: each task's credentials (1) and ordinary strings (0) with the least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: tuple[dict, dict] = ({}, {})
+        most = [2**63, 2**63]
 
         def take(label: int, w: bytes) -> None:
             held = least[label]
-            held[w] = 0
+            if w in held or (name := _name(w)) > most[label]:
+                return
+            held[w] = name
             if len(held) >= 4 * SAMPLE:
-                for x in sorted(held, key=_name)[SAMPLE:]:
+                order = sorted(held, key=held.get)
+                most[label] = held[order[SAMPLE - 1]]
+                for x in order[SAMPLE:]:
                     del held[x]
 
-        def table(ids: pa.Array, spans: list, others: list, last: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(spans, span), pa.array(others, other), pa.array(last, sample)], ["doc_id", "base", "others", "sample"])
-
         for batch in batches:
-            spans, others = [], []
-            for value in batch.column(1).cast(pa.binary()):
+            for value in batch.column(0).cast(pa.binary()):
                 text = value.as_py() or b""
-                plain = text.isascii()
-                place = (lambda i: i) if plain else (lambda i, t=text: len(t[:i].decode("utf-8", "replace")))
                 base = base_spans(text)
-                spans.append([{"kind": k, "start": place(a), "end": place(b)} for k, a, b, _ in sorted(base, key=lambda x: (x[1], x[0]))])
                 for *_, w in base:
                     take(1, w)
-                rest = []
                 for m in STRING.finditer(text):
-                    w, (a, b) = m[0], m.span()
-                    if any(x < b and a < y for _, x, y, _ in base):
-                        continue
-                    take(0, w)
-                    if any(48 <= c < 58 for c in w) and not w.isdigit():
-                        rest.append({"start": place(a), "end": place(b), "string": w.decode()})
-                others.append(rest)
-            yield table(batch.column(0), spans, others, [[]] * len(spans))
-        chosen = [{"label": label, "name": _name(w), "string": w.decode()} for label in (0, 1) for w in heapq.nsmallest(SAMPLE, least[label], key=_name)]
-        yield table(pa.array([None], pa.int64()), [None], [[]], [chosen])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, base array<struct<kind:int,start:long,end:long>>, others array<struct<start:long,end:long,string:string>>, sample array<struct<label:int,name:long,string:string>>"
-    )
+                    if not base or not any(x < m.end() and m.start() < y for _, x, y, _ in base):
+                        take(0, m[0])
+        chosen = [(label, _name(w), w.decode()) for label in (0, 1) for w in heapq.nsmallest(SAMPLE, least[label], key=_name)]
+        columns = list(zip(*chosen)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.string()))], ["label", "name", "string"])
 
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "label int, name long, string string")
 
-def found_secrets(docs: DataFrame) -> DataFrame:
-    """A row for each row of ``docs``: doc_id and spans, by start and then kind, in code points, ends exclusive.
 
-    Base spans always stay; strings that only the automaton finds are of kind 3 (``format``).
-    Null and empty texts have none. Without labelled credentials nothing is added.
-    """
-    marks = keep(scanned(docs), "scanned")
-    drawn = marks.where("base is null").select(F.explode("sample").alias("s")).select("s.*").distinct()
+def span_finder(docs: DataFrame):
+    """A function from a text column to its spans, array<struct<kind, start, end>>, with the models fitted on ``docs``."""
+    drawn = keep(sampled(docs).distinct(), "samples")
     rows = [r for label in (0, 1) for r in drawn.where(F.col("label") == label).orderBy("name", "string").limit(SAMPLE).collect()]
     credentials = [r.string.encode() for r in rows if r.label == 1]
     ordinary = [r.string.encode() for r in rows if r.label == 0]
-    marks = marks.where("base is not null")
-    if not credentials:
-        return marks.select("doc_id", F.col("base").alias("spans"))
-    model = docs.sparkSession.sparkContext.broadcast(Formats(credentials, ordinary))  # SAMPLE strings at most
+    model = docs.sparkSession.sparkContext.broadcast(Formats(credentials, ordinary) if credentials else None)  # SAMPLE strings at most
+    judged: dict[bytes, bool] = {}
+
+    def fits(w: bytes) -> bool:
+        shape = w.translate(_SHAPE)  # scores go by classes only
+        if shape not in judged:
+            if len(judged) >= HELD:
+                judged.clear()
+            judged[shape] = bool(model.value.fits(w))
+        return judged[shape]
+
+    def spans(texts: pd.Series) -> pd.Series:
+        out = []
+        for value in texts:
+            text = (value or "").encode("utf-8", "replace")
+            plain = text.isascii()
+            place = (lambda i: i) if plain else (lambda i, t=text: len(t[:i].decode("utf-8", "replace")))
+            base = base_spans(text)
+            found = [(a, k, b) for k, a, b, _ in base]
+            if model.value is not None:
+                for m in STRING.finditer(text):
+                    a, b = m.span()
+                    if fits(m[0]) and not any(x < b and a < y for _, x, y, _ in base):
+                        found.append((a, 3, b))
+            out.append([{"kind": k, "start": place(a), "end": place(b)} for a, k, b in sorted(found)])
+        return pd.Series(out, dtype=object)
 
-    def judge(others):
-        import pandas as pd
+    return F.pandas_udf(spans, "array<struct<kind:int,start:long,end:long>>")
 
-        return pd.Series([[bool(model.value.fits(o["string"].encode())) for o in row] for row in others])
 
-    fits = F.pandas_udf(judge, "array<boolean>")
-    added = F.transform(
-        F.filter(F.arrays_zip(F.col("others").alias("o"), F.col("fits").alias("f")), lambda x: x["f"]),
-        lambda x: F.struct(x["o"]["start"].alias("start"), F.lit(3).alias("kind"), x["o"]["end"].alias("end")),
-    )
-    some = marks.where(F.size("others") > 0).withColumn("fits", fits("others")).withColumn("added", added)
-    none = marks.where(F.size("others") == 0).withColumn("added", F.expr("cast(array() as array<struct<start:long,kind:int,end:long>>)"))
-    base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    every = some.drop("fits").unionByName(none).select("doc_id", F.array_sort(F.concat(base, F.col("added"))).alias("s"))
-    return every.select("doc_id", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+def found_secrets(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: doc_id and spans, by start and then kind, in code points, ends exclusive.
+
+    Base spans always stay; strings that only the automaton finds are of kind 3 (``format``).
+    Null and empty texts have none. Without labelled credentials nothing is added.
+    """
+    return docs.select(F.col("doc_id").cast("long"), span_finder(docs)(F.col("text").cast("string")).alias("spans"))
 
 
 def written(spans):
@@ -256,12 +260,8 @@ def written(spans):
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with found strings replaced by ``mark``, overlapping spans as one; rows equal in doc_id and text alike.
-
-    doc_id must tell texts apart; rows without a secret pass unchanged.
-    """
-    hits = keep(found_secrets(docs).where(F.size("spans") > 0).groupBy("doc_id").agg(F.max("spans").alias("__spans")), "hits")
-
+    """``docs`` with found strings replaced by ``mark``, overlapping spans as one; each row by its own text, whatever its doc_id."""
+    spans = span_finder(docs)
     rest = F.aggregate(
         "__spans",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
@@ -271,8 +271,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
         lambda s: F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
-    rows = docs.join(small(hits, hits.count(), 200_000), "doc_id", "left")
-    return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    rows = docs.withColumn("__spans", spans(F.col("text").cast("string")))
+    return rows.withColumn("text", F.when(F.size("__spans") == 0, F.col("text")).otherwise(rest)).select(*docs.columns)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import passages, urls
+from quern.llm import passages, secrets, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +66,17 @@ def test_bad_hosts_and_clean_ones(spark):
     clean = ["http://windows.se/casino-royale", "http://alphabets.se/adult-education", "http://soundtrack.se/ads/track", "http://news.se/?track=ads", "http://trackpads.se/win", "http://free-tibet.se/", "http://bet.se/bets-betting", "casino", "http://x.se/http://casino.se"]
     pages = spark.createDataFrame([(u,) for u in bad + clean], "url string")
     assert {r.url for r in urls.judged(pages).collect() if r.verdict == "block"} == set(bad)
+
+
+@pytest.mark.parametrize("share", [0.001, 0.01, 0.05])
+def test_unlabelled_credentials_among_ordinary_strings(share):
+    rng = random.Random(8)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n)).encode()
+    made = lambda: pick("0123456789abcdef", 40) if rng.random() < 0.5 else pick("abcdefghijklmnopqrstuvwxyz0123456789", rng.choice([8, 12, 24]))
+    plain = lambda: pick("etaoinshr", rng.randrange(5, 10)) + rng.choice([b".example.com", b"ation", b"_v2_final.txt"])
+    n = int(2000 * share)
+    planted = [made() for _ in range(n)]
+    model = secrets.Formats([made() for _ in range(1000)], planted + [plain() for _ in range(2000 - n)])
+    more = planted + [made() for _ in range(300)]
+    found, wrong = sum(map(model.fits, more)) / len(more), sum(model.fits(plain()) for _ in range(1000))
+    assert found > 0.95 and wrong < 20
