@@ -21,12 +21,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group at a similarity of 0.8; rows without a doc_id pass."""
-    found = keep(near_duplicates(docs, percent=80), "groups")
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    left = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    repeated = not found.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null")) if repeated else left
+    """Keeps the document with the least doc_id, null last, of each group at a similarity of 0.8; rows equal in doc_id and text are one."""
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("doc_id is null or count > 1").isEmpty():
+        return _first_of_groups(docs, docs.columns)
+    # a number for each doc_id and text, in the order of doc_id
+    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    rows = docs.dropDuplicates(["doc_id", "text"]).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = keep(rows.withColumnRenamed("doc_id", "__own").withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    return _first_of_groups(rows, rows.columns).drop("doc_id").withColumnRenamed("__own", "doc_id").select(*docs.columns)
+
+
+def _first_of_groups(docs: DataFrame, columns: list[str]) -> DataFrame:
+    gone = keep(near_duplicates(docs, percent=80), "groups").where("not kept").select("doc_id")
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

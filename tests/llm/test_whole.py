@@ -1,5 +1,6 @@
 """Whole jobs: what the cases in test_llm.py leave out."""
 
+import importlib
 import random
 import re
 
@@ -80,3 +81,18 @@ def test_unlabelled_credentials_among_ordinary_strings(share):
     more = planted + [made() for _ in range(300)]
     found, wrong = sum(map(model.fits, more)) / len(more), sum(model.fits(plain()) for _ in range(1000))
     assert found > 0.95 and wrong < 20
+
+
+def test_pipeline_stages_with_null_and_shared_ids(spark, sf_dir):
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(6)
+    fresh = lambda: " ".join(f"f{rng.randrange(10**9)}" for _ in range(40))
+    a, b, c, d = fresh(), fresh() + " token=abcdefgh12", fresh(), "secret: 0123456789 " + fresh()
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, d), (None, a), (2, a), (2, c + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = pipeline.near_dedup_stage(spark, docs, sf_dir)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, a), (1, b), (None, d), (2, c + " more")], key=str)
+    clean = secrets.redacted(docs).collect()
+    assert len(clean) == len(rows) and not any("abcdefgh12" in r.text or "0123456789" in r.text for r in clean)
+    mark = lambda t: t.replace("token=abcdefgh12", "[SECRET]").replace("secret: 0123456789", "[SECRET]")
+    assert sorted((str(r.doc_id), r.text) for r in clean) == sorted((str(i), mark(t)) for i, t in rows)
