@@ -21,6 +21,8 @@ from quern.llm.words import mix, text_slices
 DIMENSIONS = 1024
 #: About so many labelled documents are learned from, chosen by hash over all of them.
 TRAIN_DOCS = 20_000
+#: Different trigrams whose vectors (a kilobyte each) are held at once.
+HELD_GRAMS = 32_768
 _folded: list[np.ndarray] = []
 
 
@@ -65,14 +67,23 @@ def profiles(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     whole = doc[:-2] == doc[2:]
     code, count = np.unique(doc[:-2][whole] * size**3 + gram[whole], return_counts=True)
     gram, at = np.unique(code % size**3, return_inverse=True)
+    if len(gram) > HELD_GRAMS and docs > 1:
+        return np.concatenate([profiles(raw[a:b], np.array([0, b - a])) for a, b in zip(offs[:-1], offs[1:], strict=True)])
     letters = letter_vectors(alphabet)
     once, twice = np.roll(letters, 1, 1), np.roll(letters, 2, 1)
     ends = np.searchsorted(code, np.arange(docs + 1, dtype=np.int64) * size**3)
     step = 2048
+
+    def vectors_of(g: np.ndarray) -> np.ndarray:
+        return twice[g // size**2] * once[g // size % size] * letters[g % size]
+
+    if len(gram) > HELD_GRAMS:  # one long text, its trigrams in order
+        for k in range(0, len(gram), step):
+            out[0] += count[k : k + step].astype(np.float32) @ vectors_of(gram[k : k + step]).astype(np.float32)
+        return out / np.linalg.norm(out)
     vectors = np.empty((len(gram), DIMENSIONS), np.int8)
     for k in range(0, len(gram), step):
-        g = gram[k : k + step]
-        vectors[k : k + step] = twice[g // size**2] * once[g // size % size] * letters[g % size]
+        vectors[k : k + step] = vectors_of(gram[k : k + step])
     for d in range(docs):
         lo, hi = ends[d], ends[d + 1]
         for k in range(lo, hi, step):
@@ -84,15 +95,17 @@ def profiles(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def learned(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit bundles from ``labelled(key, text, lang)``, key a spreading long.
 
-    At most about ``most`` rows are read, chosen by hash of the key among all rows with a
-    language; with fewer, all are. No row with a language gives no language.
+    About ``most`` rows are read, chosen by hash of the key among all rows with a language;
+    with fewer, all are. Rows with a null key, text or lang teach nothing, texts without a letter
+    add nothing, and repeated rows count each. No row with a language, or an empty table, gives
+    no language.
     """
     bounded_batches(labelled.sparkSession)
     usable = labelled.where("lang is not null and text is not null and key is not null")
     total = usable.select("key").count()
-    steps = 1 << 20
+    steps = 1 << 62
     if total > most:
-        usable = usable.where(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(steps)) < int(most / total * steps))
+        usable = usable.where(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(steps)) < -(-most * steps // total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -115,28 +128,30 @@ def learned(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.
     return [r[0] for r in rows], (bundles / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with lang_pred and score, the cosine cut to 0..1; ``und`` and 0 where a text is null, has no letter or nothing is learned.
 
-    Ties go to the first language in order. The columns replace any of these names.
+    Ties go to the first language in order. Each text is judged alone, so equal texts fare
+    alike; a long one is profiled whole, its trigrams in blocks. An empty table stays empty. The
+    columns, called ``names``, replace any of these names.
     """
     langs, bundles = model
     shared = docs.sparkSession.sparkContext.broadcast(bundles)  # a vector per language
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(*names)
     at = rows.columns.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{names[0]}` string, `{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
+            said, scores = [], []
             for _, _, raw, offs in text_slices(batch.column(at)):
                 rows = profiles(raw, offs)
                 like = rows @ shared.value.T if langs else np.zeros((len(rows), 1), np.float32)
                 best = like.argmax(1)
                 none = ~rows.any(1) if langs else np.ones(len(rows), bool)
-                names += [("und" if n else langs[b]) for n, b in zip(none, best, strict=True)]
+                said += [("und" if n else langs[b]) for n, b in zip(none, best, strict=True)]
                 scores.append(np.where(none, 0.0, np.clip(like[np.arange(len(best)), best].astype(np.float64), 0, 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], [*batch.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
 
