@@ -14,7 +14,9 @@ import hashlib
 import heapq
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tables import documents, keep
+from quern.llm.tables import documents, drop, fresh, keep
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -70,6 +72,7 @@ class Automaton:
         return sum(self.count[s].values())
 
     def _alike(self, a: int, b: int) -> bool:
+        """Whether a Hoeffding bound tells the states apart, or any that the same classes lead to; b is still a tree, so there are no more of these than states below it."""
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
@@ -82,8 +85,6 @@ class Automaton:
                     return False
                 if c in self.next[x] and c in self.next[y] and (self.next[x][c], self.next[y][c]) != (x, y):
                     todo.append((self.next[x][c], self.next[y][c]))
-            if len(todo) > 10_000:
-                return False
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -170,6 +171,18 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
     return found + [(2, *m.span(), m[0]) for m in HEX_RUN.finditer(text)]
 
 
+class Covered:
+    """Tells whether a stretch overlaps any of some spans."""
+
+    def __init__(self, base: list[tuple[int, int, int, bytes]]):
+        spans = sorted((a, b) for _, a, b, _ in base)
+        self.starts, self.ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def overlaps(self, a: int, b: int) -> bool:
+        n = bisect_left(self.starts, b)
+        return n > 0 and self.ends[n - 1] > a
+
+
 def _name(w: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
 
@@ -198,8 +211,9 @@ def sampled(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 for *_, w in base:
                     take(1, w)
+                covered = Covered(base)
                 for m in STRING.finditer(text):
-                    if not base or not any(x < m.end() and m.start() < y for _, x, y, _ in base):
+                    if not covered.overlaps(*m.span()):
                         take(0, m[0])
         chosen = [(label, _name(w), w.decode()) for label in (0, 1) for w in heapq.nsmallest(SAMPLE, least[label], key=_name)]
         columns = list(zip(*chosen)) or [(), (), ()]
@@ -214,6 +228,7 @@ def span_finder(docs: DataFrame):
     rows = [r for label in (0, 1) for r in drawn.where(F.col("label") == label).orderBy("name", "string").limit(SAMPLE).collect()]
     credentials = [r.string.encode() for r in rows if r.label == 1]
     ordinary = [r.string.encode() for r in rows if r.label == 0]
+    drop(drawn)  # it holds credentials
     model = docs.sparkSession.sparkContext.broadcast(Formats(credentials, ordinary) if credentials else None)  # SAMPLE strings at most
     judged: dict[bytes, bool] = {}
 
@@ -229,16 +244,18 @@ def span_finder(docs: DataFrame):
         out = []
         for value in texts:
             text = (value or "").encode("utf-8", "replace")
-            plain = text.isascii()
-            place = (lambda i: i) if plain else (lambda i, t=text: len(t[:i].decode("utf-8", "replace")))
             base = base_spans(text)
             found = [(a, k, b) for k, a, b, _ in base]
             if model.value is not None:
+                covered = Covered(base)
                 for m in STRING.finditer(text):
-                    a, b = m.span()
-                    if fits(m[0]) and not any(x < b and a < y for _, x, y, _ in base):
-                        found.append((a, 3, b))
-            out.append([{"kind": k, "start": place(a), "end": place(b)} for a, k, b in sorted(found)])
+                    if fits(m[0]) and not covered.overlaps(*m.span()):
+                        found.append((m.start(), 3, m.end()))
+            found.sort()
+            places = np.array([(a, b) for a, _, b in found], np.int64).reshape(-1, 2)
+            if len(places) and not text.isascii():  # from bytes to code points
+                places = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])[places]
+            out.append([{"kind": k, "start": a, "end": b} for (_, k, _), (a, b) in zip(found, places.tolist(), strict=True)])
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(spans, "array<struct<kind:int,start:long,end:long>>")
@@ -248,7 +265,8 @@ def found_secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs``: doc_id and spans, by start and then kind, in code points, ends exclusive.
 
     Base spans always stay; strings that only the automaton finds are of kind 3 (``format``).
-    Null and empty texts have none. Without labelled credentials nothing is added.
+    Null and empty texts have none, an empty table has no rows, and repeated rows fare alike.
+    Texts are searched whole, however long. Without labelled credentials nothing is added.
     """
     return docs.select(F.col("doc_id").cast("long"), span_finder(docs)(F.col("text").cast("string")).alias("spans"))
 
@@ -260,10 +278,13 @@ def written(spans):
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with found strings replaced by ``mark``, overlapping spans as one; each row by its own text, whatever its doc_id."""
-    spans = span_finder(docs)
+    """``docs`` with found strings replaced by ``mark``, overlapping spans as one; each row by its own text, whatever its doc_id.
+
+    Null texts stay null, and an empty table stays empty.
+    """
+    spans, name = span_finder(docs), fresh(docs, "spans_")
     rest = F.aggregate(
-        "__spans",
+        name,
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda s, x: F.struct(
             F.when(x["start"] >= s["at"], F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["text"]).alias("text"),
@@ -271,8 +292,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
         lambda s: F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
-    rows = docs.withColumn("__spans", spans(F.col("text").cast("string")))
-    return rows.withColumn("text", F.when(F.size("__spans") == 0, F.col("text")).otherwise(rest)).select(*docs.columns)
+    rows = docs.withColumn(name, spans(F.col("text").cast("string")))
+    return rows.withColumn("text", F.when(F.size(name) == 0, F.col("text")).otherwise(rest)).select(*docs.columns)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
