@@ -16,16 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.tables import documents, keep
+from quern.llm.tables import documents, fresh, keep
 
 #: Rows to a source or target block, about; a task sorts one.
 BLOCK_ROWS = 20_000
 #: Source blocks and target blocks, at most: beyond, blocks grow instead and their sorts spill, as a
 #: source block draws a number for every target block on each level of the tree.
 MOST_BLOCKS = 4_096
+#: Equal rows that a task numbers at once.
+RUN = 10_000
 
 
 def even(total: int, parts: int) -> list[int]:
@@ -77,54 +79,61 @@ def row_of_matrix(block: int, counts: list[int], room: list[int], seed: int) ->
     return free
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with copy_, which numbers equal rows; groups of any size are numbered in runs of RUN, without a sort."""
+    copy, n, part = (fresh(rows, name) for name in ("copy_", "n_", "part_"))
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(n))
+    runs = counted.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN)))).repartition(*rows.columns, part)
+    return runs.withColumn(copy, F.explode(F.sequence(F.col(part) * RUN, F.least(F.col(n), (F.col(part) + 1) * RUN) - 1))).drop(n, part)
+
+
 def shuffled(rows: DataFrame, shards: int = 40, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows(key, ...)`` with shard and slot: a uniform shuffle with shard sizes at most one apart.
 
-    ``rows`` must be a kept table with a column ``key`` of type long that spreads the rows; its
-    other columns settle ties, and rows equal in all columns are interchangeable. An empty table
-    gives an empty one.
+    The result depends on the rows alone, not on how they lie: rows equal in all columns are
+    interchangeable and get numbers, so that a group of them spreads like others. Null keys are
+    keys. Columns must be of types that can be grouped; texts are better left out and joined by
+    key. An empty table gives an empty one. Columns shard and slot in ``rows`` are not allowed.
     """
+    names = rows.columns
+    rows = keep(told_apart(rows), "copies")
+    block, own, to = (fresh(rows, name) for name in ("block_", "own_", "to_"))
     total = rows.count()
     blocks = min(max(1, -(-total // block_rows)), MOST_BLOCKS)
     per_shard = max(1, min(-(-total // (shards * block_rows)), MOST_BLOCKS // shards))
-    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(blocks)).cast("int"))
-    found = {r[0]: r[1] for r in dealt.groupBy("__block").count().collect()}  # MOST_BLOCKS rows at most
+    dealt = rows.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(blocks)).cast("int"))
+    found = {r[0]: r[1] for r in dealt.groupBy(block).count().collect()}  # MOST_BLOCKS rows at most
     counts = [found.get(b, 0) for b in range(blocks)]
     sizes = even(total, shards)
     room = [n for s in sizes for n in even(s, per_shard)]
-    start = np.concatenate([np.concatenate([[0], np.cumsum(even(s, per_shard))[:-1]]) for s in sizes]).astype(np.int64)
 
-    ties = [c for c in rows.columns if c != "key"]
-    own = F.row_number().over(Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key", *ties))
+    def permuted(part: str, salt: int) -> Column:
+        return F.row_number().over(Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed + salt), *rows.columns), *rows.columns))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends: dict[int, np.ndarray] = {}
         for f in frames:
-            to = np.zeros(len(f), np.int32)
-            for block, at in f.groupby("__block").indices.items():
-                if block not in ends:
+            places = np.zeros(len(f), np.int32)
+            for b, at in f.groupby(block).indices.items():
+                if b not in ends:
                     ends.clear()
-                    ends[block] = np.cumsum(row_of_matrix(int(block), counts, room, seed))
-                to[at] = np.searchsorted(ends[block], f["__own"].to_numpy()[at], "left")
-            f["__to"] = to
+                    ends[b] = np.cumsum(row_of_matrix(int(b), counts, room, seed))
+                places[at] = np.searchsorted(ends[b], f[own].to_numpy()[at], "left")
+            f[to] = places
             yield f
 
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    sent = dealt.withColumn("__own", own).mapInPandas(deal, ", ".join([*names, "__block int, __own int, __to int"]))
-    place = F.row_number().over(Window.partitionBy("__to").orderBy(F.xxhash64(F.lit(seed + 2), "key"), "key", *ties)) - 1
-    first = F.element_at(F.array(*[F.lit(int(x)) for x in start[:per_shard]]), (F.pmod("__to", F.lit(per_shard)) + 1).cast("int")) if per_shard == 1 else F.lit(0)
-    if per_shard > 1:
-        # two shard sizes at most, so two lists of starts
-        big, few = sizes[0], sizes[-1]
-        lists = [F.array(*[F.lit(int(x)) for x in np.concatenate([[0], np.cumsum(even(s, per_shard))[:-1]])]) for s in (big, few)]
-        inner = (F.pmod("__to", F.lit(per_shard)) + 1).cast("int")
-        first = F.when(F.floor(F.col("__to") / per_shard) < total % shards, F.element_at(lists[0], inner)).otherwise(F.element_at(lists[1], inner))
-    return sent.withColumn("slot", (first + place).cast("long")).withColumn("shard", F.floor(F.col("__to") / per_shard).cast("int")).drop("__block", "__own", "__to")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{block} int, {own} int, {to} int"])
+    sent = dealt.withColumn(own, permuted(block, 1)).mapInPandas(deal, schema)
+    # the target blocks of a shard start where even() puts them; there are two sizes of shards at most
+    starts = [F.array(*(F.lit(int(x)) for x in np.cumsum([0, *even(s, per_shard)])[:-1])) for s in (sizes[0], sizes[-1])]
+    shard, inner = F.floor(F.col(to) / per_shard).cast("int"), (F.pmod(to, F.lit(per_shard)) + 1).cast("int")
+    first = F.when(shard < total % shards, F.element_at(starts[0], inner)).otherwise(F.element_at(starts[1], inner))
+    return sent.withColumn("slot", (first + permuted(to, 2) - 1).cast("long")).withColumn("shard", shard).select(*names, "shard", "slot")
 
 
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts count as empty: 16 bytes, a checksum of 0."""
+    """Null texts count as empty: 16 bytes, a checksum of 0. Null and repeated doc_ids are rows like others."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("key"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = shuffled(keep(rows, "rows"))
+    out = shuffled(rows)
     return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
