@@ -26,6 +26,8 @@ from quern.llm.tables import bounded_batches, documents
 from quern.llm.words import span_hash, text_slices
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
+#: The pattern whose matches ``token_starts`` finds; any other is refused. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct slices that a worker remembers; then it starts anew.
 CACHE = 150_000
 _RAW = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
@@ -165,6 +167,8 @@ def vocabulary(spark: SparkSession, path: str | None):
     """The rank file's bytes (under a megabyte), read on the driver and broadcast, and the pattern."""
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError(f"pre-tokenisation is built for {PATTERN!r}, not for {public_tokenizers.PATTERN!r}")
     bounded_batches(spark)
     with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         return spark.sparkContext.broadcast(f.read()), public_tokenizers.PATTERN
@@ -201,7 +205,12 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, sha256 of the ids as little-endian 32-bit integers and of the decoded bytes; the ids too if asked for."""
+    """doc_id, n_tokens, sha256 of the ids as little-endian 32-bit integers and of the decoded bytes; the ids too if asked for.
+
+    A row for each row of ``docs``, whatever its doc_id, other columns unread; null and empty
+    texts have no tokens, a long text is encoded whole, equal texts alike, and an empty table
+    gives an empty one.
+    """
     ranks, pattern = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
