@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quern.llm import bpe, components, embeddings, language, minhash, mixing, passages, secrets, sharding, simhash, urls
 from quern.llm.words import shingle_sets, text_slices
 
+from test_whole import repeats_by_definition
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -182,10 +184,11 @@ def test_simhash_votes_and_search(spark):
     one = [(int(x), int(y)) for x, y in np.random.default_rng(0).integers(-(2**62), 2**62, (200, 2))]
     near = [(a ^ (1 << rng.randrange(60)), b ^ sum(1 << rng.randrange(60) for _ in range(k % 4))) for k, (a, b) in enumerate(one)]
     all_ = spark.createDataFrame(one + near, "f1 long, f2 long")
-    found = {tuple(r) for r in simhash.within(all_, all_).collect()}
     every = sorted({*one, *near})
-    want = {(*p, *q) for p in every for q in every if ((p[0] ^ q[0]) % 2**64).bit_count() + ((p[1] ^ q[1]) % 2**64).bit_count() <= 3}
-    assert found == want and len(want) > len(every)
+    for radius in (3, simhash.RADIUS):
+        found = {tuple(r) for r in simhash.within(all_, all_, radius).collect()}
+        want = {(*p, *q) for p in every for q in every if ((p[0] ^ q[0]) % 2**64).bit_count() + ((p[1] ^ q[1]) % 2**64).bit_count() <= radius}
+        assert found == want and len(want) > len(every)
 
 
 def test_urls(spark):
@@ -250,28 +253,6 @@ def test_large_draws_at_their_size():
     assert sharding.spread(rng, room, 17 * 10**9).sum() == 17 * 10**9
 
 
-def repeats_by_definition(rows, least=20):
-    """{(doc_id, start, end)} of removed stretches, and for each document the words that they cover."""
-    low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
-    found = []
-    for d, t in sorted({r for r in rows if r[0] is not None and r[1]}):
-        w = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
-        cut = [0] + [i + 1 for i, m in enumerate(w) if i + 1 == len(w) or m[0][-1] in ".!?" or sum(map(ord, low(m[0]))) % 4 == 0 or "\n" in t[m.end() : w[i + 1].start()]]
-        pairs = [(i, next((c for c in cut if c >= i + least), None)) for i in cut]
-        found += [(tuple(low(m[0]) for m in w[i:j]), d, w[i].start(), w[j - 1].end()) for i, j in pairs if j is not None]
-    kept = {}
-    for name, d, a, b in sorted(found, key=lambda x: x[1:]):
-        kept.setdefault(name, (d, a, b))
-    out = []
-    for name, d, a, b in sorted(found, key=lambda x: x[1:]):
-        if d != kept[name][0] or a >= kept[name][2]:
-            if out and out[-1][0] == d and not words_of(dict(rows)[d][out[-1][2] : max(a, out[-1][2])]):
-                out[-1] = (d, out[-1][1], max(b, out[-1][2]))
-            else:
-                out.append((d, a, b))
-    return set(out)
-
-
 def test_passages(spark, empty):
     rng = random.Random(9)
     sentence = lambda n: " ".join(f"s{rng.randrange(10**6)}" for _ in range(n)).capitalize() + "."

@@ -1,13 +1,17 @@
 """Whole jobs: what the cases in test_llm.py leave out."""
 
+import hashlib
 import importlib
 import random
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import passages, secrets, urls
+from quern.llm import language, mixing, passages, secrets, sharding, simhash, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,3 +100,220 @@ def test_pipeline_stages_with_null_and_shared_ids(spark, sf_dir):
     assert len(clean) == len(rows) and not any("abcdefgh12" in r.text or "0123456789" in r.text for r in clean)
     mark = lambda t: t.replace("token=abcdefgh12", "[SECRET]").replace("secret: 0123456789", "[SECRET]")
     assert sorted((str(r.doc_id), r.text) for r in clean) == sorted((str(i), mark(t)) for i, t in rows)
+
+
+def test_common_digests_are_dealt(spark, monkeypatch):
+    """The same stretches whether digests are held to be common or not, and in one part or several."""
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"g{rng.randrange(10**9)}" for _ in range(n))
+    line = fresh(24)
+    rows = [(i, f"{fresh(5)}\n{line}\n{fresh(22)}\n{line}" if i % 2 else f"{line} {fresh(9)}") for i in range(3, 300)] + [(300 + i, line) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = repeats_by_definition(rows)
+    for common, passes in ((1, 3), (10**9, 1)):
+        monkeypatch.setattr(passages, "COMMON", common)
+        monkeypatch.setattr(passages, "PASSES", passes)
+        assert (len(passages.common_digests(docs, 20)) > 0) == (common == 1)
+        got = passages.repeats(docs).collect()
+        assert {(r.doc_id, r.start, r.end) for r in got} == want and len(got) == len(want)
+
+
+def test_texts_that_share_an_id_are_cut_each_at_its_own_places(spark):
+    rng = random.Random(13)
+    fresh = lambda n: " ".join(f"h{rng.randrange(10**9)}" for _ in range(n))
+    line, other = fresh(30), fresh(25)
+    twice = f"{fresh(40)}\n{other}"
+    rows = [(1, f"{fresh(3)}\n{line}"), (2, f"{line}\n{fresh(4)}"), (2, twice), (2, twice), (3, other), (None, line), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.lit("x")).withColumn("Cuts", F.lit(2))
+    rows = [*dict.fromkeys(rows)]
+    found = {(r.doc_id, r.n_words, r.kept_doc_id) for r in passages.repeats(docs).collect()}
+    assert found == {(2, 30, 1), (3, 25, 2)}
+    cut = passages.without_repeats(docs)
+    want = [(1, rows[0][1]), (2, rows[1][1][len(line) :]), (2, twice), (2, twice), (3, ""), (None, line), (3, None)]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert cut.columns == docs.columns and sorted(((r.doc_id, r.text) for r in cut.collect()), key=key) == sorted(want, key=key)
+
+
+def test_every_bit_of_the_simhash_search_by_brute_force(spark, tmp_path):
+    """op3 on a small table: both halves of every fingerprint, and for each query all that is near."""
+    rng = random.Random(21)
+    base = [f"v{rng.randrange(500)}" for _ in range(400)]
+    rows = []
+    for i in range(0, 90):
+        w = list(base) if i % 3 else [f"v{rng.randrange(500)}" for _ in range(300)]
+        for _ in range(i % 7 if i % 3 else 0):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i * 25, " ".join(w)))
+    rows += [(5000, ""), (5100, None), (5200, "solo"), (5300, "w " * 70_000)]
+    frame = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").withColumn("row", F.lit(1))
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in simhash.op3_simhash_fingerprints(spark, str(tmp_path)).collect()}
+    votes = frame.select("doc_id", F.transform(simhash.terms(F.coalesce("text", F.lit(""))), lambda h: F.struct(h.alias("h"), F.xxhash64(h, F.lit(1)).alias("g"))).alias("t"))
+    want = {}
+    for r in votes.collect():
+        n = len(r.t)
+        halves = [np.array([x[k] for x in r.t], np.int64).reshape(-1, 1) >> np.arange(64) & 1 for k in (0, 1)]
+        want[r.doc_id] = sum(1 << int(b) << 64 * (1 - k) for k in (0, 1) for b in np.flatnonzero(2 * halves[k].sum(0) > n))
+    assert {d: int(r.fingerprint, 16) for d, r in got.items()} == want
+    least = {}
+    for d in sorted(want):
+        least.setdefault(want[d], d)
+    for d, r in got.items():
+        near = sorted(least[f] for f in least if (f ^ want[d]).bit_count() <= simhash.RADIUS)
+        assert (r.near_ids, r.near_count) == ((near, len(near)) if d % 100 == 0 else (None, None))
+    assert max(r.near_count or 0 for r in got.values()) > 20
+
+
+def test_the_radius_finds_near_copies(spark, sf_dir):
+    """Of pairs whose sets of five-word shingles overlap by 0.8 or more, over 0.9 lie within the radius."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text").collect()
+    rng = random.Random(2)
+    rows, pairs = [], []
+    for r in docs:
+        w = r.text.split()
+        edits = int(0.021 * (len(w) - 4)) if len(w) > 60 else 0
+        if edits:
+            other = list(w)
+            for i in rng.sample(range(len(w)), edits):
+                other[i] = f"x{rng.randrange(10**6)}"
+            a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, other))
+            if 5 * len(a & b) >= 4 * len(a | b):
+                pairs.append((r.doc_id, -1 - r.doc_id))
+                rows += [(r.doc_id, r.text), (-1 - r.doc_id, " ".join(other))]
+    made = simhash.fingerprints(spark.createDataFrame(rows, "id long, text string"), ["id"]).collect()
+    prints = {r.id: ((r.f1 % 2**64) << 64) + r.f2 % 2**64 for r in made}
+    near = sum((prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS for a, b in pairs)
+    assert len(pairs) > 50 and near > 0.9 * len(pairs)
+
+
+def test_sources_come_near_their_targets(spark, sf_dir):
+    rows = mixing.op2_mix_sources(spark, sf_dir.replace("sf0.001", "sf0.01")).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(rows) > 10 and all(abs(r.taken - r.target) <= 0.02 * r.target for r in rows)
+
+
+def test_many_rows_without_ids_mix_like_others(spark):
+    rows = [(None, "one two three", "a")] * 500 + [(i, "w " * (i % 9), ["a", "b", None][i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("times_", F.lit(0))
+    counted = mixing.mix_counts(mixing.keep(mixing.sizes(docs), "t")).collect()
+    again = mixing.mix_counts(mixing.keep(mixing.sizes(docs.repartition(5)), "t")).collect()
+    assert len(counted) == 800 and Counter(map(tuple, counted)) == Counter(map(tuple, again))
+    assert mixing.mixed(docs).columns == docs.columns
+    for s in ("a", "b", None):
+        own = [r for r in counted if r.source == s]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 2
+
+
+def test_shards_of_the_query(spark, tmp_path):
+    """op5's columns by definition, with a third of the rows equal, null ids and null texts."""
+    rng = random.Random(30)
+    rows = [(i, "é" * rng.randrange(9) if i % 11 else None) for i in range(900)] + [(None, "same text")] * 300 + [(7, "same text")] * 203
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op5_shard_documents(spark, str(tmp_path)).collect()
+    made = lambda i, t: (i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter(made(i, t) for i, t in rows)
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(40)}
+    assert all(v == list(range(len(v))) and len(v) in (35, 36) for v in by.values())
+    equal = Counter(r.shard for r in got if r.doc_id is None)
+    assert len(equal) > 30 and max(equal.values()) < 25
+    spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "again" / "documents.parquet"))
+    assert Counter(map(tuple, got)) == Counter(map(tuple, sharding.op5_shard_documents(spark, str(tmp_path / "again")).collect()))
+
+
+PATTERNS = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
+
+
+def base_by_definition(text):
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in p.finditer(text) if (len(m[2]) >= 8 if k == 0 else len(m[0]) >= (16, 32)[k - 1]))
+
+
+def test_secrets_of_the_query(spark, tmp_path):
+    """op7's columns by definition, and strings that only the automaton finds, in texts with wide characters."""
+    rng = random.Random(31)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    key = lambda: "sk_" + pick("0123456789ABCDEF", 24)
+    word = lambda: pick("etaoinshrdlu", rng.randrange(3, 12))
+    lone = {i: key() for i in range(0, 300, 20)}
+    rows = [(i, f"é日 {' '.join(word() for _ in range(30))} token={key()} " + pick("0123456789abcdef", 40) + f" 😀 {lone.get(i, '')} " + " ".join(word() for _ in range(30))) for i in range(300)]
+    rows += [(400, None), (401, ""), (402, "日" * 50_000 + " secret:abcdefghi " + "x.y " * 20_000), (None, f"token={key()}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in secrets.op7_secret_scan(spark, str(tmp_path)).collect()}
+    added = {}
+    for i, text in rows:
+        base, r = base_by_definition(text or ""), got[i]
+        said = ",".join(f"{['assign', 'access', 'hex'][k]}:{a}:{b}" for a, k, b in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, x, _ in base) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert [s for s in spans if s[0] != "format"] == [s.split(":") for s in said.split(",") if s]
+        added[i] = [text[int(a) : int(b)] for k, a, b in spans if k == "format"]
+    assert sum(v in added[i] for i, v in lone.items()) >= 0.85 * len(lone) and sum(map(len, added.values())) < len(lone) + 10
+
+
+def test_languages_of_the_query_by_brute_force(spark, tmp_path):
+    """op9 on a small table: bundles, cosines and the best of them, by definition."""
+    rng = random.Random(32)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "klmnopqé"}
+    rows = [(i, " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(3, 40))), lang) for i, lang in enumerate(list(alphabets) * 20)]
+    rows += [(100, None, "aa"), (101, "12 !", None), (102, "abc", None), (None, "abc", "bb")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in language.op9_language_id(spark, str(tmp_path)).collect()}
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 3 == 1
+
+    def profile(text):
+        s = " " + " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())) + " "
+        v = np.zeros(language.DIMENSIONS)
+        letters = {c: language.letter_vectors(np.array([0 if c == " " else ord(c)]))[0].astype(int) for c in set(s)}
+        for a, b, c in zip(s, s[1:], s[2:]):
+            v += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return v / np.linalg.norm(v) if len(s) > 2 else v
+
+    bundles = {lang: sum(profile(t) for i, t, x in rows if x == lang and t and not held(i)) for lang in alphabets}
+    for i, t, _ in rows:
+        p = profile(t)
+        like = {lang: p @ b / np.linalg.norm(b) for lang, b in bundles.items()}
+        best = max(sorted(like), key=like.get)
+        assert got[i].held_out == held(i)
+        assert (got[i].lang_pred, round(got[i].score, 4)) == ((best, round(float(np.clip(like[best], 0, 1)), 4)) if p.any() else ("und", 0.0))
+
+
+def test_long_text_in_many_scripts(monkeypatch):
+    text = " ".join(chr(c) * 3 + chr(c + 1) for c in range(0x4E00, 0x5600))
+    raw = np.frombuffer((text + "short").encode(), np.uint8)
+    offs = np.array([0, len(raw) - 5, len(raw)])
+    want = language.profiles(raw, offs)
+    monkeypatch.setattr(language, "HELD_GRAMS", 100)
+    assert np.allclose(language.profiles(raw, offs), want, atol=1e-5)
+
+
+def test_language_stage_without_labels_and_with_clashing_columns(spark, sf_dir):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "some words", None, 5), (2, "12", None, 6), (3, None, None, 7)], "doc_id long, text string, lang string, score int")
+    assert [tuple(r) for r in pipeline.language_stage(spark, docs, sf_dir).collect()] == [(1, "some words", None, 5)]
+    told = docs.unionByName(spark.createDataFrame([(4, "other words", "en", 8)], docs.schema))
+    assert sorted(map(tuple, pipeline.language_stage(spark, told, sf_dir).collect())) == [(1, "some words", "en", 5), (4, "other words", "en", 8)]
+
+
+def test_share_of_training_rows_is_never_nothing(spark):
+    rows = spark.range(5000).select(F.col("id").alias("key"), F.lit("ab cd").alias("text"), F.lit("en").alias("lang"))
+    assert language.learned(rows, 1)[0] in ([], ["en"]) and language.learned(rows, 200)[0] == ["en"]
+
+
+def test_vocabulary_table(spark):
+    table = spark.createDataFrame([("gold", "Gold", False, 2, False), ("gold", "golds", False, 2, False), ("mine", "mine", False, 1, False), ("bad", "bad", True, 1, True)], "name string, form string, strict boolean, weight int, host boolean")
+    cases = {"http://x.se/gold-golds": "allow", "http://x.se/gold-mine": "block", "http://bad.se/": "block", "http://x.se/bad": "allow", "http://porn.se/": "allow", None: "allow"}
+    pages = spark.createDataFrame([(u,) for u in cases], "url string").withColumn("hits_", F.lit(1))
+    assert {r.url: r.verdict for r in urls.judged(pages, vocabulary=table).collect()} == cases
+    assert {r.verdict for r in urls.judged(pages, vocabulary=table.limit(0)).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        urls.vocabulary_of(table.withColumn("form", F.lit(None).cast("string")))
+
+
+def test_hubs_of_components(spark, monkeypatch):
+    from quern.llm import components
+
+    monkeypatch.setattr(components, "HUB", 3)
+    rng = random.Random(33)
+    edges = [(0, i) for i in range(1, 40)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(40), rng.randrange(500, 560))] + [(i, i + 1) for i in range(900, 930)]
+    got = {r.id: r.component_id for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(40), *range(500, 560)], 0), **dict.fromkeys(range(900, 931), 900)}
