@@ -10,31 +10,34 @@ from quern.llm.language import learned, predicted
 from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import mixed
 from quern.llm.secrets import redacted
-from quern.llm.tables import documents, keep, small
+from quern.llm.tables import documents, fresh, keep, small, told_apart
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null text, no letter); a null lang is filled with the prediction."""
+    """Drops documents without a language (null text, no letter); a null lang is filled with the prediction.
+
+    Without a labelled document nothing can be predicted: a text with a letter stays, its lang null.
+    """
     model = learned(docs.select(F.col("doc_id").cast("long").alias("key"), "text", "lang"))
-    found = predicted(docs, model).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = predicted(docs, model, names).where(F.col(names[0]) != "und")
+    return found.withColumn("lang", F.coalesce("lang", names[0])).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id, null last, of each group at a similarity of 0.8; rows equal in doc_id and text are one."""
-    ids = docs.groupBy("doc_id").count()
-    if ids.where("doc_id is null or count > 1").isEmpty():
-        return _first_of_groups(docs, docs.columns)
-    # a number for each doc_id and text, in the order of doc_id
-    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    rows = docs.dropDuplicates(["doc_id", "text"]).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows = keep(rows.withColumnRenamed("doc_id", "__own").withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
-    return _first_of_groups(rows, rows.columns).drop("doc_id").withColumnRenamed("__own", "doc_id").select(*docs.columns)
+    rows = told_apart(docs)
+    if rows is None:
+        return _first_of_groups(docs)
+    own = rows.columns[0]
+    return _first_of_groups(rows).drop("doc_id").withColumnRenamed(own, "doc_id").select(*docs.columns)
 
 
-def _first_of_groups(docs: DataFrame, columns: list[str]) -> DataFrame:
+def _first_of_groups(docs: DataFrame) -> DataFrame:
     gone = keep(near_duplicates(docs, percent=80), "groups").where("not kept").select("doc_id")
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*columns)
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document as often as the mix of its source asks, none to three times."""
+    """Takes every document as often as the mix of its source asks, none to three times; texts without words go."""
     return mixed(docs)
 
 
