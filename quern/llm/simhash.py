@@ -48,7 +48,7 @@ def fingerprints(texts: DataFrame, key: list[str], text: str = "text", extra: tu
     """
     rows = texts.select(*key, *extra, F.monotonically_increasing_id().alias("row"), terms(F.col(text)).alias("terms"))
     votes = rows.select(*key, *extra, "row", F.posexplode_outer("terms").alias("pos", "h")).withColumn("run", F.shiftright(F.coalesce("pos", F.lit(0)), _RUN))
-    votes = votes.withColumn("g", F.xxhash64(F.col("h"), F.lit(1)))
+    votes = votes.withColumn("g", F.when(F.col("h").isNotNull(), F.xxhash64("h", F.lit(1))))
     most = [F.max(c).alias(c) for c in extra]
     sums = [F.sum(F.shiftright(c, k).bitwiseAND(F.lit(_LANES))).alias(f"{c}{k}") for c in ("h", "g") for k in range(16)]
     counted = votes.groupBy(*key, "row", "run").agg(F.count("h").alias("n"), *most, *sums)
