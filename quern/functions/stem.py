@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CYRILLIC = re.compile("[а-я]")
@@ -27,19 +27,22 @@ def _short(stem: str) -> bool:
     return len(stem) > 2 and _shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
 
 
-def _swap(word: str, table: str, least: int) -> str:
-    """Replace the longest suffix of ``table`` ("from:to ...") if the rest measures over ``least``."""
-    pairs = [p.split(":") for p in table.split()]
-    for suffix, new in sorted(pairs, key=lambda p: -len(p[0])):
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            return stem + new if _measure(stem) > least else word
-    return word
+def _swap(word: str, table: tuple[tuple[str, str], ...], least: int) -> str:
+    """Replace the longest suffix of ``table`` if the rest measures over ``least``."""
+    suffix, new = max((p for p in table if word.endswith(p[0])), key=lambda p: len(p[0]), default=("", None))
+    if new is None:
+        return word
+    rest = word[: -len(suffix)]
+    return rest + new if _measure(rest) > least else word
 
 
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ou: ism: ate: iti: ous: ive: ize:"
+# The suffixes of the published algorithm's steps 2, 3 and 4, with what takes their place.
+_STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+_STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+_STEP4 = tuple((s, "") for s in ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"))
 
 
 def stem_english(word: str) -> str:
@@ -63,7 +66,7 @@ def stem_english(word: str) -> str:
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
     word = _swap(_swap(word, _STEP2, 0), _STEP3, 0)
-    if word.endswith("ion") and not word.endswith(tuple(p.split(":")[0] for p in _STEP4.split())):
+    if word.endswith("ion") and not word.endswith(tuple(p[0] for p in _STEP4)):
         word = word[:-3] if word[-4:-3] in ("s", "t") and _measure(word[:-3]) > 1 else word
     else:
         word = _swap(word, _STEP4, 1)
@@ -72,22 +75,23 @@ def stem_english(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
+# Vowels and endings of the published algorithm; endings of a first group stand after а or я only.
 _VOWELS = "аеиоуыэюя"
-_GERUND = ("в вши вшись", "ив ивши ившись ыв ывши ывшись")
-_ADJECTIVE = ("", "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею")
-_PARTICIPLE = ("ем нн вш ющ щ", "ивш ывш ующ")
-_REFLEXIVE = ("", "ся сь")
-_VERB = ("ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно", "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю")
-_NOUN = ("", "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я")
+_GERUND = (("в", "вши", "вшись"), ("ив", "ивши", "ившись", "ыв", "ывши", "ывшись"))
+_ADJECTIVE = ((), ("ее", "ие", "ые", "ое", "ими", "ыми", "ей", "ий", "ый", "ой", "ем", "им", "ым", "ом", "его", "ого", "ему", "ому", "их", "ых", "ую", "юю", "ая", "яя", "ою", "ею"))
+_PARTICIPLE = (("ем", "нн", "вш", "ющ", "щ"), ("ивш", "ывш", "ующ"))
+_REFLEXIVE = ((), ("ся", "сь"))
+_VERB = (("ла", "на", "ете", "йте", "ли", "й", "л", "ем", "н", "ло", "но", "ет", "ют", "ны", "ть", "ешь", "нно"), ("ила", "ыла", "ена", "ейте", "уйте", "ите", "или", "ыли", "ей", "уй", "ил", "ыл", "им", "ым", "ен", "ило", "ыло", "ено", "ят", "ует", "уют", "ит", "ыт", "ены", "ить", "ыть", "ишь", "ую", "ю"))
+_NOUN = ((), ("а", "ев", "ов", "ие", "ье", "е", "иями", "ями", "ами", "еи", "ии", "и", "ией", "ей", "ой", "ий", "й", "иям", "ям", "ием", "ем", "ам", "ом", "о", "у", "ах", "иях", "ях", "ы", "ь", "ию", "ью", "ю", "ия", "ья", "я"))
 
 
-def _cut(rv: str, groups: tuple[str, str]) -> str | None:
+def _cut(rv: str, groups: tuple[tuple[str, ...], tuple[str, ...]]) -> str | None:
     """``rv`` without its longest ending; those of the first group need а or я before them."""
-    best = max((s for g in groups for s in g.split() if rv.endswith(s)), key=len, default=None)
+    best = max((s for g in groups for s in g if rv.endswith(s)), key=len, default=None)
     if best is None:
         return None
     rest = rv[: -len(best)]
-    return rest if best not in groups[0].split() or rest.endswith(("а", "я")) else None
+    return rest if best not in groups[0] or rest.endswith(("а", "я")) else None
 
 
 def stem_russian(word: str) -> str:
@@ -129,6 +133,29 @@ def stem(token: str) -> str:
     return token if token.isdigit() else stem_english(token)
 
 
+#: Stems that a worker remembers.
+MEMORY = 500_000
+_known: dict[str, str] = {}
+
+
+def remembered(token: str) -> str:
+    found = _known.get(token)
+    if found is None:
+        if len(_known) >= MEMORY:
+            _known.clear()
+        found = _known[token] = stem(token)
+    return found
+
+
+def stemmed(terms: Column) -> Column:
+    """An array of terms with each in its stem, for few rows; many are better joined with ``stem_table``."""
+
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ts: None if ts is None else [remembered(t) for t in ts])
+
+    return F.pandas_udf(run, "array<string>")(terms)
+
+
 def stem_table(terms: DataFrame) -> DataFrame:
     """(term, stem) of the distinct values of ``terms(term)``: each is stemmed once, to be joined back."""
 

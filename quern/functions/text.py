@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.stem import stemmed
+
 #: Words with inner apostrophes, Cyrillic words, numbers. ASCII digits only, in every engine.
 TOKEN = r"[a-z]+(?:['`][a-z]+)*|[а-я]+|[0-9]+(?:[.,][0-9]+)*"
 
@@ -56,6 +60,27 @@ def analyzed(text: Column, least: int = 2, stopwords: tuple[str, ...] = STOPWORD
     return F.filter(tokens(text), lambda t: (F.length(t) >= least) & (~t.isin(*stopwords) if stopwords else F.lit(True)))
 
 
+@dataclass(frozen=True)
+class Analyzer:
+    """What becomes of a text's tokens: stopwords and short ones go, the rest is stemmed."""
+
+    least: int = 2
+    stopwords: tuple[str, ...] = STOPWORDS
+    stemming: bool = True
+
+    def surface(self, text: Column) -> Column:
+        """The terms as they are written."""
+        return analyzed(text, self.least, self.stopwords)
+
+    def terms(self, text: Column) -> Column:
+        """The terms that count. Stemming here sends them through Arrow; for whole corpora see ``search.postings``."""
+        return stemmed(self.surface(text)) if self.stemming else self.surface(text)
+
+
+#: Terms as they are written.
+PLAIN = Analyzer(stemming=False)
+
+
 def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

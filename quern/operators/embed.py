@@ -11,25 +11,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import DimensionMismatchError, EmbeddingError
-from quern.functions.stem import stem
+from quern.functions.stem import stem, stem_table
 from quern.functions.text import tokens
+from quern.sources.tables import kept, sized
 
 
-def features(found: Column) -> Column:
-    """``w:`` and the token, and the trigrams of ``^token$`` as ``c:`` for tokens over three characters."""
-    grams = F.flatten(F.transform(F.filter(found, lambda t: F.length(t) > 3), lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.lit("c:"), F.substring(F.concat(F.lit("^"), t, F.lit("$")), i, F.lit(3))))))
-    return F.concat(F.transform(found, lambda t: F.concat(F.lit("w:"), t)), grams)
+def trigrams(token: Column) -> Column:
+    """``c:`` and the trigrams of ``^token$``, for tokens over three characters."""
+    grams = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.lit("c:"), F.substring(F.concat(F.lit("^"), token, F.lit("$")), i, F.lit(3))))
+    return F.when(F.length(token) > 3, grams).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 512, seed: int = 20260214) -> DataFrame:
+def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 512, seed: int = 20260214, stemming: bool = True) -> DataFrame:
     """(key, idx, x): the non-zero places of the unit vectors, by md5, in built-in operations.
 
-    The place is 28 bits of the digest modulo ``dim``, the sign another bit, the weight
-    1 + ln(occurrences). A text without tokens has no row, which is the zero vector.
+    Features are ``w:`` with each token's stem and the trigrams of the token itself. The place is
+    28 bits of the digest modulo ``dim``, the sign another bit, the weight 1 + ln(occurrences).
+    A text without tokens has no row, which is the zero vector. Tokens are counted before they
+    are taken apart, and distinct tokens are stemmed and joined back.
     """
     if dim <= 0:
         raise EmbeddingError("dim must be positive")
-    counted = rows.select(F.col(key), F.explode(features(tokens(F.col(text)))).alias("f")).groupBy(key, "f").agg(F.count(F.lit(1)).alias("tf"))
+    found = rows.select(F.col(key), F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    if stemming:
+        stems = kept(stem_table(rows.select(F.explode(tokens(F.col(text))).alias("term"))), "stems")
+        found = found.join(sized(stems), "term")
+    word = F.concat(F.lit("w:"), F.col("stem" if stemming else "term"))
+    parts = found.select(key, "n", F.explode(F.concat(F.array(word), trigrams(F.col("term")))).alias("f"))
+    counted = parts.groupBy(key, "f").agg(F.sum("n").alias("tf"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("f")))
     idx = F.pmod(F.conv(F.substring(digest, 1, 7), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = F.when(F.conv(F.substring(digest, 8, 1), 16, 10).cast("int") >= 8, 1.0).otherwise(-1.0)

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import FusionError
-from quern.functions.text import analyzed
+from quern.functions.stem import remembered
+from quern.functions.text import Analyzer
 from quern.operators.search import DIGITS
 
 
@@ -38,7 +39,7 @@ def fuse(lists: DataFrame, key: str, k: int, method: str = "rrf", rrf_k: int = 6
 def explained(fused: DataFrame, key: str) -> Column:
     """``id rrf=0.01639 dense#1 lexical#4``, sources in order."""
     marks = F.array_join(F.transform(F.array_sort(F.map_entries("ranks")), lambda e: F.concat(e["key"], F.lit("#"), e["value"].cast("string"))), " ")
-    return F.concat_ws(" ", F.col(key).cast("string"), F.concat(F.lit("rrf="), F.format_string("%.5f", "score")), marks)
+    return F.concat_ws(" ", F.col(key).cast("string"), F.concat(F.lit("rrf="), F.format_string("%.5f", F.bround("score", 5))), marks)
 
 
 def least_window(terms: list[str], wanted: set[str]) -> int:
@@ -54,23 +55,25 @@ def least_window(terms: list[str], wanted: set[str]) -> int:
     return best
 
 
-def _closeness(terms: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+def _closeness(terms: pd.Series, wanted: pd.Series, stemming: pd.Series) -> pd.DataFrame:
     rows = []
-    for t, q in zip(terms, wanted, strict=True):
+    for t, q, stems in zip(terms, wanted, stemming, strict=True):
+        t = [remembered(x) for x in t] if stems else t
         found = set(q) & set(t)
         rows.append((len(found), sum(x in found for x in t), least_window(list(t), found) if found else 0))
     return pd.DataFrame(rows, columns=["matched", "hits", "width"], dtype="int64")
 
 
-def rerank(candidates: DataFrame, questions: DataFrame, key: str, k: int, text: str = "text", coverage: float = 0.6, proximity: float = 0.25, density: float = 0.15) -> DataFrame:
+def rerank(candidates: DataFrame, questions: DataFrame, key: str, k: int, text: str = "text", coverage: float = 0.6, proximity: float = 0.25, density: float = 0.15, analyzer: Analyzer | None = None) -> DataFrame:
     """(qid, key, score, rank) of candidates(qid, key, text) by coverage, proximity and density of the question's terms.
 
     The least window is a sweep with state, hence an Arrow UDF; a native form would need a row
     for each hit and matched term. Candidates without a matched term score 0.
     """
-    asked = questions.select("qid", F.array_distinct(analyzed(F.col("question"))).alias("q"))
-    base = candidates.select("qid", key, analyzed(F.col(text)).alias("t")).join(asked, "qid")
-    base = base.withColumn("x", F.pandas_udf(_closeness, "matched long, hits long, width long")("t", "q"))
+    analyzer = Analyzer() if analyzer is None else analyzer
+    asked = questions.select("qid", F.array_distinct(analyzer.terms(F.col("question"))).alias("q"))
+    base = candidates.select("qid", key, analyzer.surface(F.col(text)).alias("t")).join(asked, "qid")
+    base = base.withColumn("x", F.pandas_udf(_closeness, "matched long, hits long, width long")("t", "q", F.lit(analyzer.stemming)))
     x = lambda name: F.col("x").getField(name)
     score = coverage * x("matched") / F.size("q") + proximity * x("matched") / x("width") + density * F.least(F.lit(1.0), 10.0 * x("hits") / F.size("t"))
     scored = base.select("qid", key, F.when(x("matched") > 0, score).otherwise(0.0).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,10 +32,15 @@ def at_k(results: DataFrame, gold: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def faithfulness(refused: Column, answer_terms: Column, cited_terms: Column) -> Column:
-    """1 for a refusal, else the share of distinct answer terms that the cited chunks have."""
+    """1 for a refusal, else the share of distinct answer terms that the cited chunks have, 0 for an answer without terms."""
     own = F.array_distinct(answer_terms)
     missing = F.size(F.array_except(own, cited_terms))
-    return F.when(refused | (F.size(own) == 0), 1.0).otherwise(1 - missing / F.size(own))
+    return F.when(refused, 1.0).when(F.size(own) == 0, 0.0).otherwise(1 - missing / F.size(own))
+
+
+def without_markers(text: Column) -> Column:
+    """An answer without its citation markers, which are no terms of it."""
+    return F.regexp_replace(text, r"\[[0-9]{1,3}\]", " ")
 
 
 def term_recall(gold_terms: Column, answer_terms: Column) -> Column:
@@ -43,7 +48,39 @@ def term_recall(gold_terms: Column, answer_terms: Column) -> Column:
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, answer_terms)) / F.size(own))
 
 
+#: Values around a wanted rank that are looked through, as a share of all.
+_NEAR = 0.001
+
+
+def _at_ranks(values: DataFrame, n: int, ranks: list[int]) -> list[float]:
+    """The values at ranks (from 0) of values(v): sketched bounds around each, then exact counts of the few values between them."""
+    shares = sorted({min(1.0, max(0.0, (r + d * n) / n)) for r in ranks for d in (-_NEAR, _NEAR)})
+    bounds = values.agg(F.percentile_approx("v", F.array(*map(F.lit, shares)), 10_000)).first()[0]
+    out = []
+    for r in ranks:
+        low, high = (bounds[shares.index(min(1.0, max(0.0, (r + d * n) / n)))] for d in (-_NEAR, _NEAR))
+        low, high = (None if r <= 2 * _NEAR * n else low), (None if r >= n - 1 - 2 * _NEAR * n else high)
+        inside = F.lit(True)
+        if low is not None:
+            inside = inside & (F.col("v") >= low)
+        if high is not None:
+            inside = inside & (F.col("v") <= high)
+        below = 0 if low is None else values.where(F.col("v") < low).count()
+        run = F.sum("n").over(Window.orderBy("v"))
+        found = values.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", run).where(F.col("upto") > r - below).orderBy("v").first()
+        out.append(found[0])
+    return out
+
+
 def percentiles(times: DataFrame, column: str) -> DataFrame:
-    """One row p50, p95: the median, and the nearest rank with halves to even."""
-    nearest = F.element_at(F.array_sort(F.collect_list(column)), (F.bround(0.95 * (F.count(column) - 1)) + 1).cast("int"))
-    return times.agg(F.coalesce(F.median(column), F.lit(0.0)).alias("p50"), F.coalesce(F.when(F.count(column) > 0, nearest), F.lit(0.0)).alias("p95"))
+    """One row p50, p95: the median, and the nearest rank with halves to even; nulls do not count.
+
+    Only values near the wanted ranks come together in a task.
+    """
+    values = times.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n = values.count()
+    p50 = p95 = 0.0
+    if n:
+        low, high, p95 = _at_ranks(values, n, [(n - 1) // 2, n // 2, round(0.95 * (n - 1))])
+        p50 = (low + high) / 2
+    return times.sparkSession.createDataFrame([(p50, p95)], "p50 double, p95 double")

@@ -1,24 +1,27 @@
-"""Retrieval for batches of questions: BM25 over postings, exact dense search, filters."""
+"""Retrieval for batches of questions: BM25 over postings, exact and approximate dense search, filters."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import StoreError
-from quern.functions.text import analyzed
+from quern.functions.stem import stem_table
+from quern.functions.text import PLAIN, Analyzer
+from quern.sources.tables import kept, sized
 
 #: Scores are compared at so many decimals, so that the order of summing decides nothing.
 DIGITS = 9
-#: Questions and question terms that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a count of the rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Bytes of question vectors that go to every task at once.
+MATRIX_BYTES = 64 << 20
+#: Rows and questions that a task multiplies at once.
+ROW_BLOCK, QUESTION_BLOCK = 4_096, 256
 
 
 def matches(filters: dict, strict_equality: bool = False) -> Column:
@@ -36,23 +39,45 @@ def matches(filters: dict, strict_equality: bool = False) -> Column:
 
 
 def exploded(rows: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, len, term) for each term of each row; the size is taken first, so that no row carries the array."""
-    return rows.select(key, terms.alias("t")).withColumn("len", F.size("t")).select(key, "len", F.explode("t").alias("term"))
+    """(key, len, term) for each term of each row, and a row with the term "" for the row itself."""
+    return rows.select(key, terms.alias("t")).select(key, F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
 
 
-def postings(rows: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(term, key, tf, len): occurrences of a term in a row and the row's number of terms."""
-    found = exploded(rows, key, terms)
+def postings(rows: DataFrame, key: str, text: Column, analyzer: Analyzer = PLAIN, asked: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, len): occurrences of a term in a row and the row's number of terms; each row also has the term "".
+
+    The rows with "" carry the lengths of all rows, those without terms too, for ``corpus_stats``.
+    Stems are found for the distinct terms and joined back. With asked(term), stems or terms,
+    postings of other terms are left out before anything is shuffled.
+    """
+    surface = analyzer.surface(text)
+    if analyzer.stemming:
+        vocabulary = stem_table(rows.select(F.explode(surface).alias("term")))
+        if asked is not None:
+            vocabulary = vocabulary.join(sized(asked.select(F.col("term").alias("stem")).distinct()), "stem", "left_semi").select("term", "stem")
+        names = kept(vocabulary, "stems")
+        names = names.unionByName(names.sparkSession.createDataFrame([("", "")], names.select("term", "stem").schema))
+        counted = exploded(rows, key, surface)
+        if asked is None:
+            counted = counted.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("n"))
+            found = counted.join(sized(names), "term").withColumnRenamed("n", "weight")
+        else:
+            found = counted.join(sized(names), "term").withColumn("weight", F.lit(1).cast("long"))
+        return found.groupBy(F.col("stem").alias("term"), key).agg(F.sum("weight").alias("tf"), F.first("len").alias("len"))
+    found = exploded(rows, key, surface)
+    if asked is not None:
+        rows_too = asked.select("term").unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
+        found = found.join(sized(rows_too.distinct()), "term", "left_semi")
     return found.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
-def corpus_stats(rows: DataFrame, terms: Column) -> DataFrame:
-    """One row: n and avgdl over all rows, those without terms too."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(terms)), F.lit(0.0)).alias("avgdl"))
+def corpus_stats(posts: DataFrame) -> DataFrame:
+    """One row: n and avgdl over all rows of the corpus, those without terms too."""
+    return posts.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
 
 
 def doc_frequency(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = posts.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
@@ -61,62 +86,133 @@ def ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 0))
 
 
-def bm25(questions: DataFrame, rows: DataFrame, key: str, k: int, text: str = "text", filters: Column | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, key, score, rank) from questions(qid, question); statistics come from all rows, the filter from ``rows``' columns.
+def question_terms(questions: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """(qid, term) of the distinct terms of questions(qid, question)."""
+    return questions.select("qid", F.explode(F.array_distinct(analyzer.terms(F.col("question")))).alias("term"))
 
-    Postings are cut down to the questions' terms before anything is summed.
-    """
-    terms = analyzed(F.col(text))
-    stats = corpus_stats(rows, terms)
-    asked = questions.select("qid", F.explode(F.array_distinct(analyzed(F.col("question")))).alias("term"))
+
+def bm25_over(posts: DataFrame, asked: DataFrame, key: str, k: int, stats: DataFrame | None = None, allowed: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(qid, key, score, rank) of asked(qid, term) over a kept table of postings, of rows in allowed(key) if given; statistics are of all rows."""
+    stats = corpus_stats(posts) if stats is None else stats
     wanted = sized(asked.select("term").distinct())
-    found = exploded(rows, key, terms).join(wanted, "term", "left_semi")
-    posts = found.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    weighed = posts.join(doc_frequency(posts, stats), "term").join(F.broadcast(stats))
+    own = posts.where("term <> ''").join(wanted, "term", "left_semi")
+    weighed = own.join(doc_frequency(own, stats), "term").join(F.broadcast(stats))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = weighed.withColumn("part", part).join(sized(asked), "term").groupBy("qid", key).agg(F.sum("part").alias("score"))
-    if filters is not None:
-        scored = scored.join(rows.where(filters).select(key), key, "left_semi")
+    if allowed is not None:
+        scored = scored.join(allowed.select(key), key, "left_semi")
     return ranked(scored, key, k).select("qid", key, "score", "rank")
 
 
+def bm25(questions: DataFrame, rows: DataFrame, key: str, k: int, text: str = "text", filters: Column | None = None, k1: float = 1.5, b: float = 0.75, analyzer: Analyzer | None = None) -> DataFrame:
+    """(qid, key, score, rank) from questions(qid, question); statistics come from all rows, the filter from ``rows``' columns.
+
+    Postings are cut down to the questions' terms and written once; an index that serves many
+    batches is kept by ``plans.pipeline``.
+    """
+    analyzer = Analyzer() if analyzer is None else analyzer
+    asked = kept(question_terms(questions, analyzer), "asked")
+    posts = kept(postings(rows, key, F.col(text), analyzer, asked), "postings")
+    return bm25_over(posts, asked, key, k, None, None if filters is None else rows.where(filters), k1, b)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _scores(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
+    """Of question and row vectors that belong together; cosine of unit vectors, or minus the distance."""
+    return np.einsum("ij,ij->i", q, m) if metric == "cosine" else -np.sqrt(((q - m) ** 2).sum(1))
+
+
+def _best(q: np.ndarray, m: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, row, score) of the best k rows of each question, and what ties with the last within rounding.
+
+    Rows are chosen by a matrix product and scored again one by one, as squares of near-equal vectors cancel.
+    """
+    fast = q @ m.T if metric == "cosine" else -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * q @ m.T, 0))
+    if k < m.shape[0]:
+        slack = 1e-8 if metric == "cosine" else 1e-6 * (1 + np.abs(fast).max())
+        row, col = np.nonzero(fast >= np.partition(fast, m.shape[0] - k, axis=1)[:, m.shape[0] - k, None] - slack)
+    else:
+        row, col = (x.ravel() for x in np.indices(fast.shape))
+    return row, col, _scores(q[row], m[col], metric)
+
+
 def dense_topk(questions: DataFrame, rows: DataFrame, key: str, k: int, metric: str = "cosine", vector: str = "vector") -> DataFrame:
     """(qid, key, score, rank): exact search of questions(qid, vector), cosine or minus the Euclidean distance.
 
-    The question vectors, at most BROADCAST_ROWS of them, go to every task as a matrix; a task
-    multiplies block by block and keeps its own best k of each question, which a window merges.
-    Zero vectors have cosine 0; ties go to the smaller key.
+    Question vectors go to every task in matrices of MATRIX_BYTES; a task multiplies block by
+    block and keeps its own best k of each question, which a window merges. More questions make
+    more passes over the rows. Zero vectors have cosine 0; ties go to the smaller key.
     """
     if metric not in ("cosine", "l2"):
         raise StoreError(f"unknown metric {metric!r}")
+    asked = questions.select("qid", F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    kinds, names = dict(rows.dtypes), dict(questions.dtypes)
+    schema = f"qid {names['qid']}, {key} {kinds[key]}, score double"
     if k <= 0:
-        return questions.select("qid").join(rows.select(key).limit(0)).withColumns({"score": F.lit(0.0), "rank": F.lit(1)}).limit(0)
-    asked = questions.select("qid", vector).limit(BROADCAST_ROWS + 1).collect()
-    if len(asked) > BROADCAST_ROWS:
-        raise StoreError(f"more than {BROADCAST_ROWS} questions at once")
-    ids = np.array([r[0] for r in asked])
-    shared = rows.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in asked], np.float64)))
-    kinds = dict(rows.dtypes)
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    def run(frames):
-        names, q = shared.value
-        if not len(names):
-            return
-        q = unit(q) if metric == "cosine" else q
-        for f in frames:
-            for lo in range(0, len(f), 4096):
-                part = f.iloc[lo : lo + 4096].sort_values(key, kind="stable")
-                m = np.array(part[vector].tolist(), np.float64)
-                if metric == "cosine":
-                    s = q @ unit(m).T
-                else:
-                    s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * q @ m.T, 0))
-                best = np.argsort(-np.round(s, DIGITS), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(names, best.shape[1]), key: part[key].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-
-    scored = rows.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"qid {dict(questions.dtypes)['qid']}, {key} {kinds[key]}, score double")
-    return ranked(scored, key, k)
+        return ranked(rows.sparkSession.createDataFrame([], schema), key, 1)
+    count, size = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    parts = max(1, math.ceil(count * (size or 1) * 8 / MATRIX_BYTES))
+    solid = rows.where(F.col(vector).isNotNull()).select(key, vector)
+
+    def search(part: int) -> DataFrame:
+        own = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+        held = own.collect()  # MATRIX_BYTES about
+        ids = pd.Series([r[0] for r in held], dtype=object).to_numpy()
+        matrix = np.array([r[1] for r in held], np.float64).reshape(len(held), -1)
+        shared = rows.sparkSession.sparkContext.broadcast((ids, _unit(matrix) if metric == "cosine" else matrix))
+
+        def run(frames):
+            names_, q = shared.value
+            for f in frames:
+                for lo in range(0, len(f) if len(names_) else 0, ROW_BLOCK):
+                    block = f.iloc[lo : lo + ROW_BLOCK]
+                    keys, m = block[key].to_numpy(), np.array(block[vector].tolist(), np.float64)
+                    m = _unit(m) if metric == "cosine" else m
+                    for at in range(0, len(q), QUESTION_BLOCK):
+                        row, col, score = _best(q[at : at + QUESTION_BLOCK], m, k, metric)
+                        yield pd.DataFrame({"qid": names_[at + row], key: keys[col], "score": score})
+
+        return solid.mapInPandas(run, schema)
+
+    return ranked(reduce(DataFrame.unionByName, map(search, range(parts))), key, k)
+
+
+def ann_topk(questions: DataFrame, rows: DataFrame, key: str, k: int, vector: str = "vector", tables: int = 12, bits: int = 10, flips: int = 1, seed: int = 0) -> DataFrame:
+    """(qid, key, score, rank) by cosine, approximately: signs of random projections name a bucket in each table.
+
+    Every row stands in one bucket of each table; a question looks up its own and those with up
+    to ``flips`` of its bits flipped, and what it meets is scored exactly. More tables or flips
+    find more; ``dense_topk`` is exact.
+    """
+    size = rows.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    dim = size[0] if size else 1
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
+    weights = 1 << np.arange(bits)
+    masks = np.array([sum(1 << b for b in chosen) for n in range(flips + 1) for chosen in combinations(range(bits), n)])
+
+    def buckets(flipped: bool):
+        def run(vectors: pd.Series) -> pd.Series:
+            m = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+            own = ((m @ planes.T > 0).reshape(len(m), tables, bits) * weights).sum(2)
+            if flipped:
+                own = own[:, :, None] ^ masks
+            own = own.reshape(len(m), tables, -1) + (np.arange(tables) << bits)[:, None]
+            return pd.Series(own.reshape(len(m), -1).tolist())
+
+        return F.pandas_udf(run, "array<long>")
+
+    solid = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+    asked = questions.select("qid", F.col(vector).cast("array<double>").alias("q")).where("q is not null")
+    place = solid.select(key, F.explode(buckets(False)("v")).alias("bucket"))
+    lookups = asked.select("qid", F.explode(buckets(True)("q")).alias("bucket"))
+    pairs = place.join(sized(lookups), "bucket").select("qid", key).distinct()
+    both = pairs.join(solid, key).join(sized(asked), "qid")
+
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(_scores(*(_unit(np.array(x.tolist(), np.float64).reshape(len(x), -1)) for x in (a, b)), "cosine"))
+
+    return ranked(both.select("qid", key, F.pandas_udf(cosine, "double")("q", "v").alias("score")), key, k)

@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import DimensionMismatchError
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Rows replace those of the same key; of equal keys in ``rows`` any one."""
-    return table.join(rows.select(key), key, "left_anti").select(*table.columns).unionByName(rows.dropDuplicates([key]).select(*table.columns))
+    """Rows replace those of the same key; of equal keys in ``rows`` the one with the greatest values, in order of the columns."""
+    names = [c for c in table.columns if c != key]
+    one = rows.groupBy(key).agg(F.max(F.struct(*names)).alias("row")).select(key, "row.*")
+    return table.join(rows.select(key), key, "left_anti").select(*table.columns).unionByName(one.select(*table.columns))
 
 
 def delete_documents(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(ids.select("doc_id"), "doc_id", "left_anti").select(*table.columns)
 
 
+def removed(table: DataFrame, ids: DataFrame) -> int:
+    """How many rows ``delete_documents`` takes away."""
+    return table.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").count()
+
+
+def decoded_metadata(column: str = "metadata") -> Column:
+    """Metadata as a map, from JSON text; null or malformed text gives an empty one."""
+    return F.coalesce(F.from_json(F.col(column), "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+
+
 def last_of_each(docs: DataFrame, seq: str = "seq") -> DataFrame:
-    """Of documents with one id, the last in order of ``seq`` wins entirely."""
-    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col(seq).desc()))
-    return docs.withColumn("__n", last).where("__n = 1").drop("__n")
+    """Of documents with one id, the last in order of ``seq`` wins entirely; without that column, or for equal ones, that with the last text."""
+    order = [F.col(c).desc() for c in (seq, "text") if c in docs.columns]
+    place = "n_" + "_".join(docs.columns)
+    return docs.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def reindexed(table: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from quern.errors import ConfigError
 _VAR = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]*))?\}")
 
 
+# Section and key names and their defaults.
+
+
 @dataclass(frozen=True)
 class Chunking:
     strategy: str = "structural"
@@ -37,6 +40,7 @@ class Lexical:
     k1: float = 1.5
     b: float = 0.75
     min_token_length: int = 2
+    use_stemming: bool = True
 
 
 @dataclass(frozen=True)
@@ -81,13 +85,25 @@ class Config:
 
     def __post_init__(self):
         r = self.retrieval
+        checks = (
+            (self.embedding.dim > 0 and self.embedding.batch_size > 0, "embedding.dim and embedding.batch_size must be positive"),
+            (self.lexical.k1 >= 0 and 0 <= self.lexical.b <= 1, "lexical.k1 must not be negative, lexical.b between 0 and 1"),
+            (self.lexical.min_token_length >= 1, "lexical.min_token_length must be positive"),
+            (self.fusion.k > 0 and all(w >= 0 for w in self.fusion.weights.values()), "fusion.k must be positive, fusion.weights not negative"),
+            (min(self.generation.max_context_chars, self.generation.max_chunk_chars, self.generation.max_sentences) > 0, "generation sizes must be positive"),
+            (0 <= self.generation.min_support <= 1, "generation.min_support must be between 0 and 1"),
+            (self.rerank.top_n > 0, "rerank.top_n must be positive"),
+        )
+        for fine, why in checks:
+            if not fine:
+                raise ConfigError(why)
         if min(r.dense_k, r.lexical_k) < 0 or r.final_k <= 0:
             raise ConfigError("retrieval sizes must not be negative, final_k positive")
         if not r.dense_k and not (self.lexical.enabled and r.lexical_k):
             raise ConfigError("dense and lexical retrieval are both off")
         if self.rerank.provider != "none" and self.rerank.top_n < r.final_k:
             raise ConfigError("rerank.top_n must be at least retrieval.final_k")
-        for value, known in ((self.rerank.provider, ("none", "heuristic", "judge")), (self.embedding.provider, ("hashing", "blake2b", "remote")), (self.generation.provider, ("extractive", "model")), (self.store.metric, ("cosine", "l2"))):
+        for value, known in ((self.rerank.provider, ("none", "heuristic", "judge")), (self.embedding.provider, ("hashing", "blake2b", "remote")), (self.generation.provider, ("extractive", "model")), (self.store.metric, ("cosine", "l2")), (self.fusion.method, ("rrf", "weighted")), (self.chunking.strategy, ("fixed", "sentence", "structural", "token"))):
             if value not in known:
                 raise ConfigError(f"{value!r} is none of {known}")
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.sentences import ABBREVIATIONS
 from quern.functions.stem import stem_table
 from quern.operators import answer, chunk, embed, fuse, metrics, search, store
+from quern.sources.tables import kept, sized
 
-DIM = 64
+DIM = 512
+#: Queries whose SQL has no stems take terms as they are written.
+PLAIN = T.PLAIN
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,29 +79,37 @@ def chunk_structural(s, d):
 
 
 def chunk_coverage(s, d):
-    docs = _docs(s, d)
-    every = [chunk.coverage(chunk.chunk(docs, k), docs).select("doc_id", F.lit(k).alias("strategy"), "covered") for k in chunk.DEFAULTS]
-    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    docs = _docs(s, d).select("doc_id", "text")
+    each = [chunk.spans(docs, k).select("doc_id", F.lit(k).alias("strategy"), chunk.tiles(F.col("spans"), F.length("text")).alias("covered")) for k in chunk.DEFAULTS]
+    return reduce(DataFrame.unionByName, each)
 
 
 def chunk_reconstruct(s, d):
-    docs = _docs(s, d)
-    every = [chunk.reconstruct(chunk.chunk(docs, k)).select("doc_id", F.lit(k).alias("strategy"), F.md5("text").alias("digest")) for k in chunk.DEFAULTS]
-    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    docs = _docs(s, d).select("doc_id", "text")
+    each = [chunk.spans(docs, k).select("doc_id", F.lit(k).alias("strategy"), F.md5(chunk.joined(F.col("text"), F.col("spans"))).alias("digest")) for k in chunk.DEFAULTS]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _postings(s, d, analyzer=PLAIN):
+    return search.postings(_docs(s, d), "doc_id", F.col("text"), analyzer)
 
 
 def postings(s, d):
-    return search.postings(_docs(s, d), "doc_id", T.analyzed(F.col("text"))).select("term", "doc_id", "tf", F.col("len").cast("long").alias("n_terms"))
+    return _postings(s, d).where("term <> ''").select("term", "doc_id", "tf", F.col("len").cast("long").alias("n_terms"))
+
+
+def postings_stemmed(s, d):
+    return _postings(s, d, T.Analyzer()).where("term <> ''").select("term", "doc_id", "tf", F.col("len").cast("long").alias("n_terms"))
 
 
 def corpus_stats(s, d):
-    return search.corpus_stats(_docs(s, d), T.analyzed(F.col("text"))).select("n", F.round("avgdl", 6).alias("avgdl"))
+    lengths = _docs(s, d).select(F.lit("").alias("term"), F.size(T.analyzed(F.col("text"))).alias("len"))
+    return search.corpus_stats(lengths).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def doc_frequency(s, d):
-    docs, terms = _docs(s, d), T.analyzed(F.col("text"))
-    found = search.doc_frequency(search.postings(docs, "doc_id", terms), search.corpus_stats(docs, terms))
-    return found.select("term", "df", F.round("idf", 6).alias("idf"))
+    posts = kept(_postings(s, d), "postings")
+    return search.doc_frequency(posts, search.corpus_stats(posts)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def stem_terms(s, d):
@@ -107,16 +121,20 @@ def _scores(ranked, key="doc_id"):
 
 
 def bm25_topk(s, d):
+    return _scores(search.bm25(_questions(s, d), _docs(s, d), "doc_id", 10, analyzer=PLAIN))
+
+
+def bm25_stemmed(s, d):
     return _scores(search.bm25(_questions(s, d), _docs(s, d), "doc_id", 10))
 
 
 def bm25_filtered(s, d):
-    return _scores(search.bm25(_questions(s, d), _docs(s, d), "doc_id", 10, filters=search.matches({"lang": "en", "source": ["src0", "src1", "src2"]})))
+    return _scores(search.bm25(_questions(s, d), _docs(s, d), "doc_id", 10, filters=search.matches({"lang": "en", "source": ["src0", "src1", "src2"]}), analyzer=PLAIN))
 
 
 def bm25_chunks(s, d):
     chunks = chunk.chunk(_docs(s, d), "fixed")
-    return _scores(search.bm25(_questions(s, d), chunks, "chunk_id", 10), "chunk_id")
+    return _scores(search.bm25(_questions(s, d), chunks, "chunk_id", 10, analyzer=PLAIN), "chunk_id")
 
 
 def _vectors(s, d):
@@ -139,18 +157,23 @@ def dense_filtered(s, d):
     return _scores(search.dense_topk(q, rows.where(search.matches({"label": [1, 2, 3]})), "vec_id", 10), "vec_id")
 
 
+def ann_topk(s, d):
+    q, rows = _vectors(s, d)
+    return _scores(search.ann_topk(q, rows, "vec_id", 10), "vec_id")
+
+
 def hash_embed(s, d):
-    found = embed.hash_embed(_docs(s, d), "doc_id", "text", DIM)
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_places"), F.round(F.sum(F.col("x") * (F.col("idx") + 1)), 6).alias("checksum"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("square"))
+    found = embed.hash_embed(_docs(s, d), "doc_id", "text", DIM, stemming=False)
+    return found.select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("x", 6).alias("x"))
 
 
 def _lists(s, d):
     questions, docs = _questions(s, d), _docs(s, d)
-    lexical = search.bm25(questions, docs, "doc_id", 30).withColumn("source", F.lit("lexical"))
-    q = embed.dense(embed.hash_embed(questions, "qid", "question", DIM), "qid", DIM)
-    rows = embed.dense(embed.hash_embed(docs, "doc_id", "text", DIM), "doc_id", DIM)
+    lexical = search.bm25(questions, docs, "doc_id", 30, analyzer=PLAIN).withColumn("source", F.lit("lexical"))
+    q = embed.dense(embed.hash_embed(questions, "qid", "question", DIM, stemming=False), "qid", DIM)
+    rows = embed.dense(embed.hash_embed(docs, "doc_id", "text", DIM, stemming=False), "doc_id", DIM)
     near = search.dense_topk(q, rows, "doc_id", 30).withColumn("source", F.lit("dense"))
-    return lexical.unionByName(near.select(*lexical.columns))
+    return kept(lexical.unionByName(near.select(*lexical.columns)), "lists")
 
 
 def fuse_rrf(s, d):
@@ -168,16 +191,36 @@ def hybrid_explained(s, d):
 
 def rerank_heuristic(s, d):
     questions, docs = _questions(s, d), _docs(s, d)
-    top = search.bm25(questions, docs, "doc_id", 20).select("qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
-    return _scores(fuse.rerank(top, questions, "doc_id", 6))
+    top = search.bm25(questions, docs, "doc_id", 20, analyzer=PLAIN).select("qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    return _scores(fuse.rerank(top, questions, "doc_id", 6, analyzer=PLAIN))
+
+
+#: Whole words of a passage, after its first, that find it in a document; shorter passages are compared with every document.
+PROBE = 5
 
 
 def _gold(s, d):
-    """Where a benchmark passage stands verbatim in a document; the passages are a stated set, broadcast by size."""
+    """Where a benchmark passage first stands verbatim in a document.
+
+    The second to sixth word of a passage are whole words of the document too, so their digest
+    is looked up among those of all runs of five words; the few pairs that meet are compared.
+    """
     passages = _read(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    pairs = _docs(s, d).join(search.sized(passages), F.expr("instr(text, passage) > 0"))
+    word = lambda t: F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
+    named = passages.withColumn("w", word(F.col("passage")))
+    probes = named.where(F.size("w") >= PROBE + 2).select("qid", F.xxhash64(*(F.element_at("w", i + 2) for i in range(PROBE))).alias("h"))
+    docs = _docs(s, d).select("doc_id", "text")
+    w = word(F.col("text"))
+    runs = docs.select("doc_id", F.explode(F.arrays_zip(*(F.slice(w, F.lit(i + 1), F.greatest(F.size(w) - i, F.lit(0))).alias(f"w{i}") for i in range(PROBE)))).alias("x"))
+    runs = runs.where(f"x.w{PROBE - 1} is not null").select("doc_id", F.xxhash64(*(F.col(f"x.w{i}") for i in range(PROBE))).alias("h"))
+    met = runs.join(sized(probes), "h").select("qid", "doc_id").distinct()
+    pairs = docs.join(sized(met), "doc_id").join(sized(passages), "qid")
+    short = kept(named.where(F.size("w") < PROBE + 2).drop("w"), "short")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(docs.join(sized(short), F.expr("instr(text, passage) > 0")).select(*pairs.columns))
     start = F.expr("instr(text, passage) - 1")
-    return pairs.select("qid", "doc_id", start.cast("long").alias("gold_start"), (start + F.length("passage")).cast("long").alias("gold_end"))
+    found = pairs.where("instr(text, passage) > 0").select("qid", "doc_id", start.cast("long").alias("gold_start"), (start + F.length("passage")).cast("long").alias("gold_end"))
+    return kept(found, "gold")
 
 
 def gold_spans(s, d):
@@ -185,59 +228,66 @@ def gold_spans(s, d):
 
 
 def gold_relevant(s, d):
-    return metrics.relevant(chunk.chunk(_docs(s, d), "fixed"), _gold(s, d))
+    gold = _gold(s, d)
+    return metrics.relevant(chunk.chunk(_docs(s, d).join(sized(gold.select("doc_id").distinct()), "doc_id", "left_semi"), "fixed"), gold)
 
 
 def retrieval_metrics(s, d):
-    found = search.bm25(_questions(s, d), _docs(s, d), "doc_id", 6)
+    found = search.bm25(_questions(s, d), _docs(s, d), "doc_id", 6, analyzer=PLAIN)
     gold = _gold(s, d).select("qid", "doc_id").distinct()
     return metrics.at_k(found, gold, "doc_id", 5).select("qid", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "rr", "ndcg")))
 
 
 def _packs(s, d):
     chunks = chunk.chunk(_docs(s, d), "fixed")
-    top = search.bm25(_questions(s, d), chunks, "chunk_id", 6)
-    return answer.packed(top.join(chunks.select("chunk_id", "text"), "chunk_id"), 2000, 700)
+    top = kept(search.bm25(_questions(s, d), chunks, "chunk_id", 6, analyzer=PLAIN), "top")
+    ids = sized(top.select("chunk_id").distinct())
+    return kept(answer.packed(top.join(sized(chunks.select("chunk_id", "text", "heading").join(ids, "chunk_id", "left_semi")), "chunk_id")), "packs")
 
 
 def context_pack(s, d):
     return _packs(s, d).select("qid", F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"), F.md5("block").alias("block"))
 
 
-def extractive_answer(s, d):
+def _answers(s, d):
     packs, questions = _packs(s, d), _questions(s, d)
-    done = answer.enforced(answer.extractive(packs, questions), packs, questions, "chunk_id")
-    return done.select("qid", "text", F.size("citations").alias("n_citations"), "refused", "reason")
+    return packs, kept(answer.enforced(answer.extractive(packs, questions, analyzer=PLAIN), packs, questions, "chunk_id"), "answers")
+
+
+def extractive_answer(s, d):
+    return _answers(s, d)[1].select("qid", "text", F.size("citations").cast("long").alias("n_citations"), "refused", "reason")
 
 
 def refusal_sweep(s, d):
-    packs, questions = _packs(s, d).cache(), _questions(s, d)
-    rows = [answer.enforced(answer.extractive(packs, questions, min_support=m), packs, questions, "chunk_id").agg(F.lit(m).alias("min_support"), F.avg(F.col("refused").cast("int")).alias("refused")) for m in (0.0, 0.2, 0.34, 0.5, 0.67)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return answer.refusals(_packs(s, d), _questions(s, d), [0.0, 0.2, 0.34, 0.5, 0.67], PLAIN).select("min_support", F.round("refused", 6).alias("refused"))
 
 
 def faithfulness(s, d):
-    """Of each document's first 400 characters as an answer to its benchmark passage."""
-    pairs = _gold(s, d).join(_docs(s, d).select("doc_id", "text"), "doc_id").join(_questions(s, d), "qid")
-    said, cited = T.analyzed(F.substring("text", 1, 400)), T.analyzed(F.col("question"))
-    return pairs.select("qid", "doc_id", F.round(metrics.faithfulness(F.lit(False), said, cited), 6).alias("faithful"), F.round(metrics.term_recall(cited, said), 6).alias("term_recall"))
+    """Of every extractive answer to its cited chunks, and of the question's terms in the answer."""
+    packs, said = _answers(s, d)
+    cited = said.select("qid", F.explode("citations.chunk_id").alias("chunk_id")).join(packs.select("qid", "chunk_id", "text"), ["qid", "chunk_id"])
+    cited = cited.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list(T.analyzed(F.col("text"))))).alias("cited"))
+    rows = said.select("qid", "text", "refused").join(cited, "qid", "left").join(_questions(s, d), "qid")
+    own, none = T.analyzed(metrics.without_markers(F.col("text"))), F.expr("cast(array() as array<string>)")
+    faithful = metrics.faithfulness(F.col("refused"), own, F.coalesce("cited", none))
+    return rows.select("qid", F.round(faithful, 6).alias("faithful"), F.round(metrics.term_recall(T.analyzed(F.col("question")), own), 6).alias("term_recall"))
 
 
 def latency_percentiles(s, d):
-    return metrics.percentiles(_read(s, d, "events").where("value is not null"), "value").select(F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    return metrics.percentiles(_read(s, d, "events"), "value").select(F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def _table(s, d):
     return chunk.chunk(_docs(s, d), "fixed").select("chunk_id", "doc_id", "text")
 
 
+def _changed(s, d):
+    """Every document anew: its text after a mark, those in French emptied."""
+    return _docs(s, d).select("doc_id", F.when(F.col("lang") == "fr", F.lit(" ")).otherwise(F.concat(F.lit("new "), "text")).alias("text"))
+
+
 def store_upsert(s, d):
-    old = _table(s, d)
-    new = old.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
-    return store.upsert(old, new).select("chunk_id", "doc_id", F.md5("text").alias("digest"))
+    return store.upsert(_table(s, d), chunk.chunk(_changed(s, d), "fixed").select("chunk_id", "doc_id", "text")).select("chunk_id", "doc_id", F.md5("text").alias("digest"))
 
 
 def store_delete(s, d):
@@ -245,9 +295,8 @@ def store_delete(s, d):
 
 
 def reindex_replace(s, d):
-    docs = _docs(s, d).where("doc_id % 5 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 900)))
-    fresh = chunk.chunk(docs, "fixed").select("chunk_id", "doc_id", "text")
-    return store.reindexed(_table(s, d), docs, fresh).select("chunk_id", "doc_id", F.md5("text").alias("digest"))
+    docs = _changed(s, d)
+    return store.reindexed(_table(s, d), docs, chunk.chunk(docs, "fixed").select("chunk_id", "doc_id", "text")).select("chunk_id", "doc_id", F.md5("text").alias("digest"))
 
 
 def dedupe_ids(s, d):
@@ -259,7 +308,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_filtered, bm25_chunks, fold_text, tokenize_count, analyze_terms, snippets, word_spans, chunk_fixed, chunk_token, chunk_sentence, chunk_structural, chunk_coverage, chunk_reconstruct,
-        postings, corpus_stats, doc_frequency, stem_terms, dense_cosine_topk, dense_l2_topk, dense_filtered, hash_embed, fuse_rrf, fuse_weighted, hybrid_explained, rerank_heuristic, gold_spans,
+        postings, postings_stemmed, corpus_stats, doc_frequency, stem_terms, bm25_stemmed, dense_cosine_topk, dense_l2_topk, dense_filtered, ann_topk, hash_embed, fuse_rrf, fuse_weighted, hybrid_explained, rerank_heuristic, gold_spans,
         gold_relevant, retrieval_metrics, context_pack, extractive_answer, refusal_sweep, faithfulness, latency_percentiles, store_upsert, store_delete, reindex_replace, dedupe_ids,
     )
 }
@@ -319,6 +368,58 @@ dense AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER B
 lists AS (SELECT 'lexical' AS source, * FROM lexical UNION ALL SELECT 'dense', * FROM dense)"""
 _GOLD = "gold AS (SELECT b.item_id AS qid, d.doc_id, strpos(d.text, b.text) - 1 AS gold_start, strpos(d.text, b.text) - 1 + length(b.text) AS gold_end FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 _FUSED = "SELECT qid, doc_id, round(sum(part) / 1e12, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(sum(part) / 1e12, 9) DESC, doc_id) AS rank FROM p GROUP BY qid, doc_id QUALIFY rank <= 6"
+_CHANGED = "changed AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN ' ' ELSE 'new ' || text END AS text FROM documents)"
+_FIXED_ANEW = _FIXED.replace("FROM documents", "FROM changed").replace("fixed AS", "anew AS").replace("chunks AS", "fresh AS").replace("FROM fixed", "FROM anew")
+_SHORT = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+_AFTER = "[.!?…\"»)'']"
+
+
+def _sentences(rows: str, key: str) -> str:
+    """sent(key, i, s, start, stop, n): sentences of rows(key, text); what ends one gets a mark, abbreviations' periods another."""
+    safe = rf"regexp_replace(text, '(^|[^\p{{L}}.])({_SHORT})\.', '\1\2' || chr(2), 'gi')"
+    ends = rf"regexp_replace({safe}, '(\.{_AFTER}*[ \t]+|\.{_AFTER}+|[!?…]{_AFTER}*[ \t]*)([^\p{{Ll}}\n \t.!?…\"»)''])', '\1' || chr(1) || '\2', 'g')"
+    dots = rf"regexp_replace({ends}, '(\.)([^\p{{Ll}}\n \t.!?…\"»)''0-9' || chr(1) || '])', '\1' || chr(1) || '\2', 'g')"
+    gaps = rf"regexp_replace({dots}, '(\n[ \t]*\n[ \t\n]*)([^ \t\n])', '\1' || chr(1) || '\2', 'g')"
+    return f"""split AS (SELECT {key}, list_transform(string_split({gaps}, chr(1)), lambda x: replace(x, chr(2), '.')) AS l FROM {rows}),
+flat AS (SELECT {key}, unnest(l) AS s, generate_subscripts(l, 1) AS i, len(l) AS n FROM split),
+sent AS (SELECT *, sum(length(s)) OVER (PARTITION BY {key} ORDER BY i) - length(s) AS start, sum(length(s)) OVER (PARTITION BY {key} ORDER BY i) AS stop FROM flat)"""
+
+
+_SOLID = f"solid AS (SELECT doc_id, text, length(text) AS chars FROM documents WHERE {_COLLAPSE} <> '')"
+_OUT = "SELECT doc_id, ordinal::BIGINT AS ordinal, start_at::BIGINT AS start_at, end_at::BIGINT AS end_at, md5(substr(text, start_at::BIGINT + 1, (end_at - start_at)::BIGINT)) AS digest FROM spans JOIN solid USING (doc_id)"
+_SENTENCE_CHUNKS = f"""WITH RECURSIVE {_SOLID}, {_sentences('solid', 'doc_id')}, known AS MATERIALIZED (SELECT * FROM sent),
+reach AS MATERIALIZED (SELECT a.doc_id, a.i, a.n, a.start, max(b.i) AS last, max(b.stop) AS stop FROM known a JOIN known b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.i <= a.i + 800 AND (b.stop - a.start <= 800 OR b.i = a.i) GROUP BY ALL),
+walk AS (SELECT doc_id, 1::BIGINT AS i, 0::BIGINT AS reached FROM solid
+    UNION ALL SELECT w.doc_id, CASE WHEN r.last > w.reached THEN greatest(r.last, w.i + 1) ELSE w.reached + 1 END, greatest(r.last, w.reached) FROM walk w JOIN reach r ON r.doc_id = w.doc_id AND r.i = w.i WHERE w.reached < r.n AND r.last < r.n),
+windows AS (SELECT w.doc_id, r.start, r.stop, row_number() OVER d AS k, count(*) OVER (PARTITION BY w.doc_id) AS total, lead(r.stop) OVER d AS next_stop, lead(r.stop - r.start) OVER d AS next_size
+    FROM walk w JOIN reach r ON r.doc_id = w.doc_id AND r.i = w.i WHERE r.last > w.reached WINDOW d AS (PARTITION BY w.doc_id ORDER BY r.i)),
+spans AS (SELECT doc_id, k - 1 AS ordinal, start AS start_at, CASE WHEN k = total - 1 AND next_size < 120 THEN next_stop ELSE stop END AS end_at FROM windows WHERE NOT (k = total AND total > 1 AND stop - start < 120))
+{_OUT}"""
+#: For texts without headings and blank lines, as all of ``documents`` are: one section, cut by sentences, then hard.
+_STRUCTURAL_CHUNKS = f"""WITH RECURSIVE {_SOLID}, {_sentences('solid', 'doc_id')},
+edges AS MATERIALIZED (SELECT doc_id, stop AS e FROM sent UNION SELECT doc_id, 0 FROM solid),
+hop AS MATERIALIZED (SELECT a.doc_id, a.e, coalesce(max(b.e) FILTER (b.e <= a.e + 900), min(b.e)) AS onward FROM edges a JOIN edges b ON b.doc_id = a.doc_id AND b.e > a.e GROUP BY ALL),
+walk AS (SELECT doc_id, 0::HUGEINT AS e, chars FROM solid UNION ALL SELECT w.doc_id, h.onward, chars FROM walk w JOIN hop h ON h.doc_id = w.doc_id AND h.e = w.e WHERE chars - w.e > 900 AND h.onward < chars),
+parts AS (SELECT doc_id, e AS a, lead(e, 1, chars::HUGEINT) OVER (PARTITION BY doc_id ORDER BY e) AS b FROM walk),
+cut AS (SELECT doc_id, a, b, unnest(range(greatest(1, ceil((b - a) / 900.0)::BIGINT))) AS j FROM parts),
+spans AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, j) - 1 AS ordinal, a + j * 900 AS start_at, least(a + (j + 1) * 900, b) AS end_at FROM cut)
+{_OUT}"""
+_PACKS = f"""{_FIXED}, {_bm25('chunks', 'chunk_id', 6)}, b AS (SELECT qid, chunk_id, rank, text, '[' || rank || '] ' || substr({_COLLAPSE}, 1, 1500) AS block FROM lexical JOIN chunks USING (chunk_id)),
+u AS (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS used FROM b), packs AS MATERIALIZED (SELECT *, qid || ':' || rank AS k FROM u WHERE used <= 6000 OR rank = 1)"""
+_SUPPORT = f"""{_PACKS}, {_sentences('packs', 'k')},
+clean AS (SELECT k, i, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS text FROM sent),
+question AS (SELECT qid, list(term) AS q FROM asked GROUP BY qid),
+support AS MATERIALIZED (SELECT p.qid, p.rank, p.chunk_id, c.i, c.text AS sentence, len(list_intersect(q, {_terms('c.text')})) / len(q) AS overlap FROM clean c JOIN packs p USING (k) JOIN question USING (qid) WHERE length(c.text) >= 20)"""
+_ANSWERED = f"""{_SUPPORT}, best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, rank, i) AS n FROM support WHERE overlap > 0 QUALIFY n <= 3),
+answered AS MATERIALIZED (SELECT qid, trim(regexp_replace(string_agg(sentence || ' [' || rank || ']', ' ' ORDER BY n), '[ \\t]+', ' ', 'g')) AS text, list_distinct(list(rank)) AS marks FROM best GROUP BY qid)"""
+_CLOSE = f"""{_bm25('documents', 'doc_id', 20)}, question AS (SELECT qid, count(*) AS nq FROM asked GROUP BY qid),
+found AS MATERIALIZED (SELECT qid, l.doc_id, {_terms('text')} AS t FROM lexical l JOIN documents USING (doc_id)),
+flat AS (SELECT qid, doc_id, len(t) AS size, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM found),
+hit AS MATERIALIZED (SELECT f.* FROM flat f JOIN asked USING (qid, term)),
+per AS (SELECT qid, doc_id, max(size) AS size, count(*) AS hits, count(DISTINCT term) AS matched FROM hit GROUP BY qid, doc_id),
+seen AS (SELECT h.qid, h.doc_id, h.pos, max(CASE WHEN h.term = m.term THEN h.pos END) OVER (PARTITION BY h.qid, h.doc_id, m.term ORDER BY h.pos) AS last FROM hit h JOIN (SELECT DISTINCT qid, doc_id, term FROM hit) m ON m.qid = h.qid AND m.doc_id = h.doc_id),
+width AS (SELECT qid, doc_id, min(w) AS width FROM (SELECT qid, doc_id, pos - min(last) + 1 AS w FROM seen GROUP BY qid, doc_id, pos HAVING count(last) = count(*)) GROUP BY qid, doc_id),
+graded AS (SELECT qid, doc_id, 0.6::DOUBLE * matched / nq + 0.25::DOUBLE * matched / width + 0.15::DOUBLE * least(1.0, 10.0 * hits / size) AS score FROM per JOIN width USING (qid, doc_id) JOIN question USING (qid))"""
 _STRATEGIES = "(VALUES ('fixed'), ('sentence'), ('structural'), ('token')) k(strategy)"
 
 ORACLES = {
@@ -343,7 +444,7 @@ SELECT s.doc_id, ordinal, start_at, end_at, md5(substr(text, start_at + 1, end_a
     "dense_cosine_topk": _top("list_cosine_similarity(a, b)"),
     "dense_l2_topk": _top("-list_distance(a, b)"),
     "dense_filtered": _top("list_cosine_similarity(a, b)", "label IN (1, 2, 3)"),
-    "hash_embed": f"WITH {_embedded('dv', 'doc_id', 'documents')} SELECT doc_id, count(*) AS n_places, round(sum(x * (idx + 1)), 6) AS checksum, round(sum(x * x), 6) AS square FROM dv GROUP BY doc_id",
+    "hash_embed": f"WITH {_embedded('dv', 'doc_id', 'documents')} SELECT doc_id, idx, round(x, 6) AS x FROM dv",
     "fuse_rrf": f"WITH {_LISTS}, p AS (SELECT qid, doc_id, round(0.5::DOUBLE / (60 + rank) * 1e12)::BIGINT AS part FROM lists) {_FUSED}",
     "fuse_weighted": f"WITH {_LISTS}, m AS (SELECT *, min(score) OVER w AS low, max(score) OVER w AS high FROM lists WINDOW w AS (PARTITION BY qid, source)), p AS (SELECT qid, doc_id, round(0.5::DOUBLE * CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1.0 END * 1e12)::BIGINT AS part FROM m) {_FUSED}",
     "gold_spans": f"WITH {_GOLD} SELECT qid, doc_id, gold_start::BIGINT AS gold_start, gold_end::BIGINT AS gold_end FROM gold",
@@ -353,13 +454,23 @@ hit AS (SELECT l.qid, l.rank, g.doc_id IS NOT NULL AS hit FROM lexical l LEFT JO
 per AS (SELECT qid, count(*) FILTER (hit AND rank <= 5) AS found, min(rank) FILTER (hit) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= 5), 0) AS gain FROM hit GROUP BY qid)
 SELECT qid, round(CASE WHEN n > 0 THEN found / n ELSE 0 END, 6) AS recall, round(coalesce(found, 0) / 5, 6) AS precision, round(coalesce(1 / first, 0), 6) AS rr,
 round(CASE WHEN n > 0 THEN coalesce(gain, 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg FROM per FULL JOIN wanted USING (qid)""",
-    "context_pack": f"""WITH {_FIXED}, {_bm25('chunks', 'chunk_id', 6)}, b AS (SELECT qid, rank, '[' || rank || '] ' || substr({_COLLAPSE}, 1, 700) AS block FROM lexical JOIN chunks USING (chunk_id)),
-u AS (SELECT qid, rank, block, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS used FROM b) SELECT qid, rank, used::BIGINT AS used, md5(block) AS block FROM u WHERE used <= 2000 OR rank = 1""",
-    "faithfulness": f"""WITH {_GOLD}, t AS (SELECT qid, doc_id, list_distinct({_terms('substr(d.text, 1, 400)')}) AS said, list_distinct({_terms('b.text')}) AS cited FROM gold JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = qid)
-SELECT qid, doc_id, round(CASE WHEN len(said) = 0 THEN 1.0 ELSE 1 - len(list_filter(said, lambda x: NOT list_contains(cited, x))) / len(said) END, 6) AS faithful, round(CASE WHEN len(cited) = 0 THEN 0.0 ELSE len(list_intersect(cited, said)) / len(cited) END, 6) AS term_recall FROM t""",
+    "chunk_sentence": _SENTENCE_CHUNKS,
+    "chunk_structural": _STRUCTURAL_CHUNKS,
+    "hybrid_explained": f"""WITH {_LISTS}, p AS (SELECT qid, doc_id, source || '#' || rank AS mark, round(0.5::DOUBLE / (60 + rank) * 1e12)::BIGINT AS part FROM lists),
+f AS (SELECT qid, doc_id, sum(part) / 1e12 AS score, string_agg(mark, ' ' ORDER BY mark) AS marks, row_number() OVER (PARTITION BY qid ORDER BY round(sum(part) / 1e12, 9) DESC, doc_id) AS rank FROM p GROUP BY qid, doc_id QUALIFY rank <= 6)
+SELECT qid, rank, doc_id || ' rrf=' || printf('%.5f', score) || ' ' || marks AS explained FROM f""",
+    "rerank_heuristic": f"WITH {_CLOSE} SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM graded QUALIFY rank <= 6",
+    "context_pack": f"WITH {_PACKS} SELECT qid, rank, used::BIGINT AS used, md5(block) AS block FROM packs",
+    "extractive_answer": f"""WITH {_ANSWERED} SELECT b.item_id AS qid, coalesce(a.text, '') AS text, coalesce(len(marks), 0)::BIGINT AS n_citations, a.qid IS NULL AS refused,
+CASE WHEN a.qid IS NOT NULL THEN NULL WHEN b.item_id IN (SELECT qid FROM packs) THEN '{answer.UNRESOLVED}' ELSE '{answer.NO_CHUNKS}' END AS reason FROM benchmark b LEFT JOIN answered a ON a.qid = b.item_id""",
+    "refusal_sweep": f"""WITH {_SUPPORT}, top AS (SELECT qid, max(overlap) AS best FROM support WHERE overlap > 0 GROUP BY qid)
+SELECT m::DOUBLE AS min_support, round(avg(CASE WHEN best >= m::DOUBLE THEN 0.0 ELSE 1.0 END), 6) AS refused FROM benchmark b LEFT JOIN top ON qid = item_id, (VALUES (0.0), (0.2), (0.34), (0.5), (0.67)) t(m) GROUP BY m""",
+    "faithfulness": f"""WITH {_ANSWERED}, cited AS (SELECT a.qid, list_distinct(flatten(list({_terms('p.text')}))) AS cited FROM answered a JOIN packs p ON p.qid = a.qid AND list_contains(a.marks, p.rank) GROUP BY a.qid),
+t AS (SELECT b.item_id AS qid, a.qid IS NULL AS refused, list_distinct({_terms("regexp_replace(coalesce(a.text, ''), '\\[[0-9]{1,3}\\]', ' ', 'g')")}) AS said, coalesce(cited, []) AS cited, list_distinct({_terms('b.text')}) AS asked FROM benchmark b LEFT JOIN answered a ON a.qid = b.item_id LEFT JOIN cited c ON c.qid = b.item_id)
+SELECT qid, round(CASE WHEN refused THEN 1.0 WHEN len(said) = 0 THEN 0.0 ELSE 1 - len(list_filter(said, lambda x: NOT list_contains(cited, x))) / len(said) END, 6) AS faithful, round(CASE WHEN len(asked) = 0 THEN 0.0 ELSE len(list_intersect(asked, said)) / len(asked) END, 6) AS term_recall FROM t""",
     "latency_percentiles": "SELECT round(median(value), 6) AS p50, round(list_sort(list(value))[round_even(0.95 * (count(value) - 1), 0)::BIGINT + 1], 6) AS p95 FROM events WHERE value IS NOT NULL",
-    "store_upsert": f"WITH {_FIXED} SELECT chunk_id, doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END) AS digest FROM chunks",
+    "store_upsert": f"WITH {_CHANGED}, {_FIXED}, {_FIXED_ANEW} SELECT chunk_id, doc_id, md5(text) AS digest FROM fresh UNION ALL SELECT chunk_id, doc_id, md5(text) FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM fresh)",
     "store_delete": f"WITH {_FIXED} SELECT doc_id, count(*) AS n_chunks FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') GROUP BY doc_id",
-    "reindex_replace": "WITH before AS (SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text WHEN doc_id % 10 = 0 THEN ' ' ELSE substr(text, 1, 900) END AS text FROM documents)), " + _FIXED.replace("FROM documents", "FROM before") + " SELECT chunk_id, doc_id, md5(text) AS digest FROM chunks",
+    "reindex_replace": f"WITH {_CHANGED}, {_FIXED_ANEW} SELECT chunk_id, doc_id, md5(text) AS digest FROM fresh",
     "dedupe_ids": "SELECT conv_id AS doc_id, turn AS seq, md5(text) AS digest FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
 }

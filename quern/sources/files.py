@@ -67,3 +67,10 @@ def markdown(rows: list[dict]) -> str:
     show = lambda k, v: (f"{v:.1f}" if k.endswith("_ms") else f"{v:.3f}") if isinstance(v, float) else str(v)
     head = list(rows[0])
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(show(k, r[k]) for k in head) + " |" for r in rows)])
+
+
+def write_report(report: dict, path: str) -> None:
+    """A report as JSON, indented by two, other alphabets as they are."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(report, f, ensure_ascii=False, indent=2)
+        f.write("\n")

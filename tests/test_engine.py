@@ -9,7 +9,8 @@ from quern.functions.sentences import sentence_spans
 from quern.functions.stem import stem
 from quern.operators import answer, chunk, fuse, metrics, search, store
 from quern.plans.config import load, variant
-from quern.plans.pipeline import Pipeline, evaluate
+from quern.plans.evaluate import evaluate, grounding, sweep
+from quern.plans.pipeline import Pipeline
 from quern.sources.client import ModelClient
 from quern.sources.files import inline_documents, markdown, read_corpus, read_directory
 from quern.streaming.events import JsonField, frames, ingest, payload, replayed
