@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -117,19 +116,6 @@ def common_digests(docs: DataFrame, least: int) -> np.ndarray:
     return np.sort(np.array(found, np.int64))
 
 
-def earliest(dealt: DataFrame, kept: DataFrame) -> DataFrame:
-    """``dealt`` with the common digests' earliest occurrences from kept(d1, d2, kept), 100,000 rows about and looked up in every task."""
-    table = kept.select("d1", "d2", "kept.*").toDF("d1", "d2", "kept_doc_id", "kept_at", "kept_to").toPandas()
-    shared = dealt.sparkSession.sparkContext.broadcast(table)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.merge(shared.value, on=["d1", "d2"])[["doc_id", "at", "to", "kept_doc_id", "kept_at", "kept_to"]]
-
-    found = dealt.select("d1", "d2", "doc_id", "at", "to").mapInPandas(run, "doc_id long, at long, to long, kept_doc_id long, kept_at long, kept_to long")
-    return found.select("doc_id", "at", "to", F.struct(F.col("kept_doc_id").alias("doc_id"), F.col("kept_at").alias("at"), F.col("kept_to").alias("to")).alias("kept"))
-
-
 def _repeats(rows: DataFrame, least: int) -> DataFrame:
     """``repeats`` of rows(doc_id, text) in which every doc_id is its own."""
     high, low = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
@@ -142,11 +128,10 @@ def _repeats(rows: DataFrame, least: int) -> DataFrame:
         found = found.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("kept", F.min(F.struct("doc_id", "at", "to")).over(same)).where("n > 1 or salt > 0")
         parts.append(keep(found.drop("n"), "found"))
     found = reduce(DataFrame.unionByName, parts)
-    single = found.where("salt = 0").drop("d1", "d2", "salt")
-    if len(common):
-        dealt = found.where("salt > 0")
-        single = single.unionByName(earliest(dealt.drop("kept"), dealt.groupBy("d1", "d2").agg(F.min("kept").alias("kept"))))
-    again = single.where((F.col("doc_id") != F.col("kept.doc_id")) | (high("at") >= high("kept.to")))
+    if len(common):  # the earliest of each common digest's places
+        first = keep(found.where("salt > 0").groupBy("d1", "d2").agg(F.min("kept").alias("first")), "first")
+        found = found.join(F.broadcast(first), ["d1", "d2"], "left").withColumn("kept", F.coalesce("first", "kept"))
+    again = found.where((F.col("doc_id") != F.col("kept.doc_id")) | (high("at") >= high("kept.to")))
     flagged = again.select("doc_id", high("at").alias("start"), high("to").alias("end"), low("at").alias("first"), low("to").alias("last"), F.col("kept.doc_id").alias("kept_doc_id"), high("kept.at").alias("kept_start"))
     flagged = flagged.repartition("doc_id").distinct()
     before = Window.partitionBy("doc_id").orderBy("first", "last")
