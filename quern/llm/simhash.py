@@ -32,12 +32,25 @@ BLOCKS, FLIPS = 6, 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 
 
+def word_pairs(text: Column) -> Column:
+    """Structs a, b of neighbouring words; the last word has no b, and an empty text one empty a."""
+    words = F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    return F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"))
+
+
+def counts(size: Column, a: Column, b: Column) -> Column:
+    """Whether one of ``size`` pairs is a term: the last word stands for itself only if it is alone."""
+    return b.isNotNull() | ((size == 1) & (a != ""))
+
+
+def term_hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, F.coalesce(b, a))
+
+
 def terms(text: Column) -> Column:
     """Hashes of the pairs of neighbouring words; a lone word is its own term, no word none."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, F.coalesce(b, a)))
-    return F.when(F.size(hashes) > 1, F.slice(pairs, F.lit(1), F.size(hashes) - 1)).otherwise(pairs)
+    pairs = word_pairs(text)
+    return F.transform(F.filter(pairs, lambda p: counts(F.size(pairs), p["a"], p["b"])), lambda p: term_hash(p["a"], p["b"]))
 
 
 def fingerprints(texts: DataFrame, key: list[str], text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -46,8 +59,10 @@ def fingerprints(texts: DataFrame, key: list[str], text: str = "text", extra: tu
     Texts without words have no votes and all bits unset. The key only says how rows lie
     together: a table dealt by some of it is not dealt again.
     """
-    rows = texts.select(*key, *extra, F.monotonically_increasing_id().alias("row"), terms(F.col(text)).alias("terms"))
-    votes = rows.select(*key, *extra, "row", F.posexplode_outer("terms").alias("pos", "h")).withColumn("run", F.shiftright(F.coalesce("pos", F.lit(0)), _RUN))
+    rows = texts.select(*key, *extra, F.monotonically_increasing_id().alias("row"), word_pairs(F.col(text)).alias("pairs"))
+    # exploded as words: hashing them afterwards is compiled, functions over arrays are not
+    votes = rows.select(*key, *extra, "row", F.size("pairs").alias("size"), F.posexplode("pairs").alias("pos", "pair"))
+    votes = votes.withColumn("run", F.shiftright("pos", _RUN)).withColumn("h", F.when(counts(F.col("size"), F.col("pair.a"), F.col("pair.b")), term_hash(F.col("pair.a"), F.col("pair.b"))))
     votes = votes.withColumn("g", F.when(F.col("h").isNotNull(), F.xxhash64("h", F.lit(1))))
     most = [F.max(c).alias(c) for c in extra]
     sums = [F.sum(F.shiftright(c, k).bitwiseAND(F.lit(_LANES))).alias(f"{c}{k}") for c in ("h", "g") for k in range(16)]
@@ -114,7 +129,8 @@ def within(queries: DataFrame, all_: DataFrame, radius: int = RADIUS) -> DataFra
         raise ValueError(f"the tables find everything within {RADIUS} bits, not {radius}")
     tables = all_.select("f1", "f2").distinct().withColumn("place", _places(0))
     asked = queries.select("f1", "f2").distinct().withColumn("place", _places(min(FLIPS, radius)))
-    asked = asked.select(F.col("f1").alias("q1"), F.col("f2").alias("q2"), "place")
+    # many more rows than Spark guesses, so no broadcast
+    asked = asked.select(F.col("f1").alias("q1"), F.col("f2").alias("q2"), "place").hint("merge")
     near = apart(F.col("q1"), F.col("q2"), F.col("f1"), F.col("f2")) <= radius
     return tables.join(asked, "place").where(near).select("q1", "q2", "f1", "f2").distinct()
 
