@@ -49,9 +49,15 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 512, seed: int =
 
 def dense(sparse: DataFrame, key: str, dim: int) -> DataFrame:
     """(key, vector) from ``hash_embed``'s places."""
-    pairs = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "x"))).alias("m"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return pairs.select(key, at.alias("vector"))
+
+    def spread(idx: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros((len(idx), dim))
+        for row, (i, v) in enumerate(zip(idx, x, strict=True)):
+            out[row, i] = v
+        return pd.Series(list(out))
+
+    lists = sparse.groupBy(key).agg(F.collect_list("idx").alias("i"), F.collect_list("x").alias("x"))  # dim places at most
+    return lists.select(key, F.pandas_udf(spread, "array<double>")("i", "x").alias("vector"))
 
 
 def blake_vector(text_tokens: list[str], dim: int, seed: int) -> list[float]:
