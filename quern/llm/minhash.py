@@ -8,9 +8,16 @@ bucket keys: at a similarity of 0.8 a pair shares no bucket with probability
 
 First, each bucket's least id is tied to the others in a star, so that a group of copies costs
 a pair for each member and bucket. Confirmed stars give components. Buckets that still hold
-several components are then gone through in blocks: two members of different components go on
-if their marks agree enough, in the first bucket that they share only. So no link is lost to
-the stars, and no pairs are made within a component or for unlike members.
+several components are then gone through in blocks: members outside a bucket's largest component
+meet the others, and two of different components go on if their marks agree enough, in the
+first bucket that they share only. So no link is lost to the stars, and no pairs are made
+within a component or for unlike members.
+
+Where over LARGE members are outside the largest component, all pairs would be too many. The
+members of such buckets are joined on their rarest shingles instead: of two sets that overlap by
+``percent``, each holds one of the other's rarest shingles among so many of its own as it may
+lack and one more. What a large bucket's texts have in common is frequent, so it ties no groups there.
+
 Pairs are confirmed on the full shingle sets, which are made anew from the texts.
 """
 
@@ -21,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
@@ -36,6 +43,8 @@ TRIES = 64
 SIGNED, MARGIN = 48, 0.12
 #: Members of a bucket to a block; a task holds two.
 BLOCK = 512
+#: Members of a bucket outside its largest component that are compared with all others; beyond, rare shingles are joined.
+LARGE = 4_096
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
@@ -112,32 +121,44 @@ def _likely(percent: int):
     return F.pandas_udf(judge, "boolean")
 
 
-def across(members: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
-    """Likely pairs between components, from members(key, first, id, c, n, mark, count): a row per unit of work.
+def open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members(key, first, id) with their component c, and of each key with several: total, asks (members outside the largest component), major (that component)."""
+    known = members.join(labels, "id", "left").select("key", "first", "id", F.coalesce("component_id", "id").alias("c"))
+    per = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    info = per.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return known, info.select("key", "total", (F.col("total") - F.col("top.n")).alias("asks"), F.col("top.c").alias("major"))
+
 
-    A bucket of over BLOCK members is dealt into blocks, and pairs of blocks are the units
-    (key, p, q). Rows come sorted by these, so a task holds one unit. A unit's row has the ids
-    of its likely pairs and the pairs as places among them. A pair is given in the first bucket
-    that its marks share, and not for the bucket's centre, which its star has compared.
+def across(members: DataFrame, bands: int, rows: int, percent: int, banded: bool = True) -> DataFrame:
+    """Likely pairs between components, from members(key, first, id, c, n, mark, total, asks, major): a row per unit of work.
+
+    A bucket of over BLOCK members is dealt into blocks: those outside its largest component ask,
+    all answer, and pairs of an asking and an answering block are the units (key, p, q). Rows
+    come sorted by these, so a task holds one unit. A unit's row has the ids of its likely pairs
+    and the pairs as places among them. In a bucket of a band, a pair is given if that is the
+    first that its marks share, and not for the bucket's centre, which its star has compared.
     """
-    dealt = members.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks").cast("long")).cast("int"))
-    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = both.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "first", "id", "c", "n", "mark")
-
-    def pairs(unit: list[tuple], crossed: bool) -> tuple[list[int], list[int], list[int]]:
-        block, first, ids, c, n = (np.array([r[i] for r in unit], np.int64) for i in range(5))
-        marks = np.frombuffer(b"".join(r[5] for r in unit), np.uint16).reshape(len(unit), -1)
+    none, pair = F.expr("cast(array() as array<struct<p:int,q:int,role:int>>)"), lambda p, q, role: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(role).alias("role"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), blocks(n).cast("long"))
+    asking = F.when(F.col("c") == F.col("major"), none).otherwise(F.transform(F.sequence(F.lit(0), blocks("total") - 1), lambda q: pair(own(9, "asks"), q, 0)))
+    answering = F.transform(F.sequence(F.lit(0), blocks("asks") - 1), lambda p: pair(p, own(10, "total"), 1))
+    places = F.when(F.col("total") <= BLOCK, F.array(pair(F.lit(0), F.lit(0), 2))).otherwise(F.concat(asking, answering))
+    units = members.withColumn("u", F.explode(places)).select("key", "u.p", "u.q", "u.role", (F.col("c") == F.col("major")).cast("int").alias("big"), F.coalesce("first", F.lit(-(2**63))).alias("first"), "id", "c", "n", "mark")
+
+    def pairs(unit: list[tuple]) -> tuple[list[int], list[int], list[int]]:
+        role, big, first, ids, c, n = (np.array([r[i] for r in unit], np.int64) for i in range(6))
+        marks = np.frombuffer(b"".join(r[6] for r in unit), np.uint16).reshape(len(unit), -1)
         # the unit's own band, if its marks share just one
-        shared = np.flatnonzero((marks == marks[0]).reshape(len(unit), bands, rows).all((0, 2)))
+        shared = np.flatnonzero((marks == marks[0]).reshape(len(unit), bands, rows).all((0, 2))) if banded else ()
         band = int(shared[0]) if len(shared) == 1 else -1
         used: dict[int, int] = {}
         left: list[int] = []
         right: list[int] = []
-        for i in np.flatnonzero(ids != first):
-            rest = np.flatnonzero((ids > ids[i]) & (ids != first) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if crossed:
-                rest = rest[block[rest] != block[i]]
+        answers = (role > 0) & (ids != first)
+        for i in np.flatnonzero((role != 1) & (big == 0) & (ids != first)):
+            # those that ask too meet once, by the smaller id
+            rest = np.flatnonzero(answers & ((big == 1) | (ids > ids[i])) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             rest = rest[likely(marks[rest], marks[i], n[rest], n[i], percent)]
             if band >= 0 and len(rest):
                 rest = rest[(marks[rest] == marks[i]).reshape(len(rest), bands, rows).all(2).argmax(1) == band]
@@ -151,7 +172,7 @@ def across(members: DataFrame, bands: int, rows: int, percent: int) -> DataFrame
 
         def out() -> Iterator[pa.RecordBatch]:
             if len(unit) > 1:
-                ids, left, right = pairs(unit, now[1] != now[2])
+                ids, left, right = pairs(unit)
                 if left:
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array([x], t) for x, t in zip(now, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([ids], pa.list_(pa.int64())), pa.array([left], pa.list_(pa.int32())), pa.array([right], pa.list_(pa.int32()))],
@@ -159,7 +180,7 @@ def across(members: DataFrame, bands: int, rows: int, percent: int) -> DataFrame
                     )
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 if row[:3] != now:
                     yield from out()
                     now, unit = row[:3], []
@@ -169,6 +190,26 @@ def across(members: DataFrame, bands: int, rows: int, percent: int) -> DataFrame
     return units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "key long, p int, q int, ids array<long>, left array<int>, right array<int>")
 
 
+def rare_shingles(ids: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, id): the rarest shingles of each set of ids(id), by how many of these sets hold them, as many as a linked set may lack and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, offs in text_slices(batch.column(2)):
+                values, bounds = shingle_sets(raw, offs, width)
+                count = np.diff(bounds)
+                own = [np.repeat(batch.column(i).to_numpy()[lo:hi], count) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in own), pa.array(np.repeat(count, count)), pa.array(values.view(np.int64))], ["id", "text_hash", "n", "key"])
+
+    texts = texts_of(ids, docs).select("id", F.xxhash64("text").alias("text_hash"), "text")
+    held = keep(texts.mapInArrow(run, "id long, text_hash long, n long, key long"), "shingles")
+    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("id", "text_hash").orderBy("often", "key")
+    prefix = F.floor(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    chosen = held.join(often, "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix)
+    return chosen.where("often > 1").select("key", "id").distinct()
+
+
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, text) of the documents in ``ids(id)``."""
     ids = keep(ids.distinct(), "ids")
@@ -289,7 +330,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     reps = keep(drawn.join(classes.withColumnRenamed("rep", "doc_id"), [*names, "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "mark"), "reps")
     drop(drawn)
     keyed = keep(reps.select(bucket_keys(bands, rows).alias("key"), "id"), "keyed")
-    shared = keep(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("count")).where("first <> last").drop("last"), "shared")
+    shared = keep(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last"), "shared")
     members = keep(keyed.join(shared, "key").distinct(), "members")
     drop(keyed)
 
@@ -302,10 +343,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     labels = keep(components(links), "labels")
 
     # What the stars left open
-    known = members.join(labels, "id", "left").select("key", "first", "id", "count", F.coalesce("component_id", "id").alias("c"))
-    unlike = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    left = known.where("count > 2").join(unlike, "key", "left_semi").join(reps, "id").select("key", "first", "id", "c", "n", "mark", "count")
-    links = links.unionByName(keep(confirmed_units(keep(across(left, bands, rows, percent), "units"), docs, width, percent), "unit-links"))
+    known, info = open_buckets(members.select("key", "first", "id"), labels)
+    info = keep(info, "open")
+    parts = [across(known.join(info.where(F.col("asks") <= LARGE), "key").join(reps, "id"), bands, rows, percent)]
+    large = info.where(F.col("asks") > LARGE)
+    if not large.isEmpty():
+        ids = members.join(large.select("key"), "key", "left_semi").select("id")
+        rare = keep(rare_shingles(ids, docs, width, percent), "rare").withColumn("first", F.lit(None).cast("long"))
+        known, info = open_buckets(rare, labels)
+        parts.append(across(known.join(info, "key").join(reps, "id"), bands, rows, percent, banded=False))
+    for part in parts:
+        links = links.unionByName(keep(confirmed_units(keep(part, "units"), docs, width, percent), "unit-links"))
     links = keep(links.unionByName(copies), "links")
     every = components(links)
     return (

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import language, mixing, passages, secrets, sharding, simhash, urls
+from quern.llm import language, minhash, mixing, passages, secrets, sharding, simhash, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -317,3 +317,37 @@ def test_hubs_of_components(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 40)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(40), rng.randrange(500, 560))] + [(i, i + 1) for i in range(900, 930)]
     got = {r.id: r.component_id for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys([*range(40), *range(500, 560)], 0), **dict.fromkeys(range(900, 931), 900)}
+
+
+@pytest.mark.parametrize(("block", "large"), [(512, 4096), (8, 4096), (8, 0), (512, 2)])
+def test_buckets_of_any_size_lose_no_link(spark, monkeypatch, block, large):
+    """Groups of edited copies that share a long common part, by brute force: in one block, several, and by rare shingles."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LARGE", large)
+    rng = random.Random(40)
+    common = [f"c{i}" for i in range(150)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}x{i}" for i in range(70)]
+        for _ in range(9):
+            w = common + own
+            for _ in range(rng.randrange(9)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**9)}"
+            rows.append(" ".join(w))
+    rows += [" ".join(common)] * 3 + [" ".join(common + [f"z{i}{k}" for i in range(k)]) for k in range(1, 30, 3)]
+    rng.shuffle(rows)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in range(len(rows)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), percent=80).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and len(set(got.values())) > 5
