@@ -15,7 +15,7 @@ DOCUMENT = "doc_id STRING, text STRING, metadata MAP<STRING, STRING>"
 
 def read_directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".md", ".txt")) -> DataFrame:
     """doc_id (path below ``path``), text, source, kind of all non-blank files with a suffix, in any case, at any depth."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     name = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
     root = path.removeprefix("file://").rstrip("/") + "/"
     rows = files.select(name.alias("p"), F.col("value").alias("text")).withColumn("doc_id", F.expr(f"substring(p, instr(p, '{root}') + {len(root)})"))

@@ -157,11 +157,11 @@ def test_config(monkeypatch):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "d" / "sub").mkdir(parents=True)
-    (tmp_path / "d" / "a.MD").write_text("alpha")
+    (tmp_path / "d" / "a.MD").write_text("alpha\n\nand more\n")
     (tmp_path / "d" / "sub" / "b c.txt").write_text("beta")
     (tmp_path / "d" / "blank.txt").write_text(" \n")
     (tmp_path / "d" / "c.bin").write_text("no")
-    assert {(r.doc_id, r.kind) for r in read_directory(spark, str(tmp_path / "d")).collect()} == {("a.MD", ".md"), ("sub/b c.txt", ".txt")}
+    assert {(r.doc_id, r.kind, r.text) for r in read_directory(spark, str(tmp_path / "d")).collect()} == {("a.MD", ".md", "alpha\n\nand more\n"), ("sub/b c.txt", ".txt", "beta")}
     (tmp_path / "c.jsonl").write_text('{"doc_id": "x", "text": "t", "metadata": {"k": "v"}}\n\n')
     assert read_corpus(spark, str(tmp_path / "c.jsonl")).count() == 1
     assert inline_documents(spark, [{"doc_id": "x", "text": "t", "metadata": {"n": 1}}]).first().metadata == {"n": "1"}

@@ -29,6 +29,13 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["qid", "doc_id", "score", "rank"]
 
 
-@pytest.mark.parametrize("name", ["chunk_sentence", "chunk_structural", "stem_terms", "rerank_heuristic", "extractive_answer", "hybrid_explained", "refusal_sweep"])
+@pytest.mark.parametrize("name", ["stem_terms", "ann_topk"])
 def test_runs(spark, sf_dir, name):
     assert entry.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_stems_of_the_query(spark, sf_dir):
+    from quern.functions.stem import stem
+
+    rows = entry.queries()["stem_terms"](spark, sf_dir).collect()
+    assert len(rows) == len({r.term for r in rows}) and all(r.stem == stem(r.term) for r in rows)

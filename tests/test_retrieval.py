@@ -332,3 +332,18 @@ def test_store_details(spark):
 def test_config_ranges(bad):
     with pytest.raises(ConfigError):
         load(bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quern.cli import main
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "store.md").write_text(GUIDE)
+    (tmp_path / "c.json").write_text(json.dumps({"embedding": {"dim": 16}}))
+    base = ["--config", str(tmp_path / "c.json"), "--store", f"file://{tmp_path}/index"]
+    assert main([*base, "query", "rows"]) == 1
+    assert main([*base, "index", "--path", str(tmp_path / "docs")]) == 0 and json.loads(capsys.readouterr().out)["documents"] == 1
+    assert main([*base, "query", "How many rows does a batch hold?"]) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert "168" in said["answer"] and said["citations"][0]["doc_id"] == "store.md"
+    assert main(["dataset", str(tmp_path / "data")]) == 0 and json.loads(capsys.readouterr().out)["unanswerable"] == 8
