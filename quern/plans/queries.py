@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,16 +76,21 @@ def chunk_structural(s, d):
     return _spans(chunk.chunk(_docs(s, d), "structural"))
 
 
+def _by_strategy(s, d, name, of):
+    """(doc_id, strategy, name) of the pieces that each strategy makes, in one pass over the texts."""
+    docs = _docs(s, d).select("doc_id", "text", F.length("text").alias("chars"))
+    for k in chunk.DEFAULTS:
+        docs = chunk.pieces(docs, k, f"__{k}")
+    each = (F.struct(F.lit(k).alias("strategy"), of(F.col(f"__{k}")).alias(name)) for k in chunk.DEFAULTS)
+    return docs.select("doc_id", F.inline(F.array(*each)))
+
+
 def chunk_coverage(s, d):
-    docs = _docs(s, d).select("doc_id", "text")
-    each = [chunk.spans(docs, k).select("doc_id", F.lit(k).alias("strategy"), chunk.tiles(F.col("spans"), F.length("text")).alias("covered")) for k in chunk.DEFAULTS]
-    return reduce(DataFrame.unionByName, each)
+    return _by_strategy(s, d, "covered", lambda pieces: chunk.tiles(pieces, F.col("chars")))
 
 
 def chunk_reconstruct(s, d):
-    docs = _docs(s, d).select("doc_id", "text")
-    each = [chunk.spans(docs, k).select("doc_id", F.lit(k).alias("strategy"), F.md5(chunk.joined(F.col("text"), F.col("spans"))).alias("digest")) for k in chunk.DEFAULTS]
-    return reduce(DataFrame.unionByName, each)
+    return _by_strategy(s, d, "digest", lambda pieces: F.md5(chunk.joined(pieces)))
 
 
 def _postings(s, d, analyzer=PLAIN):
@@ -239,9 +242,12 @@ def retrieval_metrics(s, d):
 
 
 def _packs(s, d):
-    chunks = chunk.chunk(_docs(s, d), "fixed")
-    top = kept(search.bm25(_questions(s, d), chunks, "chunk_id", 6, analyzer=PLAIN), "top")
+    docs = _docs(s, d)
+    top = kept(search.bm25(_questions(s, d), chunk.chunk(docs, "fixed"), "chunk_id", 6, analyzer=PLAIN), "top")
     ids = sized(top.select("chunk_id").distinct())
+    # only the documents of these chunks are cut again; a chunk's id is its document's, "::" and a number
+    found = sized(top.select(F.regexp_replace("chunk_id", "::[0-9]+$", "").alias("id")).distinct())
+    chunks = chunk.chunk(docs.join(found, F.col("doc_id").cast("string") == F.col("id"), "left_semi"), "fixed")
     return kept(answer.packed(top.join(sized(chunks.select("chunk_id", "text", "heading").join(ids, "chunk_id", "left_semi")), "chunk_id")), "packs")
 
 
