@@ -1,6 +1,9 @@
 """What keeps the queries' time and memory in proportion to their input."""
 
+import time
+
 import pytest
+from quern.functions.sentences import sentence_spans
 from quern.operators import chunk
 from quern.plans.queries import QUERIES
 
@@ -29,3 +32,9 @@ def test_fixed_windows_from_runs(spark, size, overlap):
 def test_packs_cut_only_their_documents(spark, sf_dir):
     assert QUERIES["context_pack"](spark, sf_dir).count() > 0
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_sentences_skip_what_ends_none():
+    began = time.perf_counter()
+    assert len(sentence_spans("Etc. no end here, i.e. none " * 200_000 + "x. Y")) == 2
+    assert time.perf_counter() - began < 2
