@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.stem import stemmed
+from quern.functions.stem import remembered, stemmed
 
 #: Words with inner apostrophes, Cyrillic words, numbers. ASCII digits only, in every engine.
 TOKEN = r"[a-z]+(?:['`][a-z]+)*|[а-я]+|[0-9]+(?:[.,][0-9]+)*"
@@ -38,6 +41,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+_FOUND = re.compile(TOKEN).findall
+
+
+def tokens_of(text: str) -> list[str]:
+    """``tokens`` in Python."""
+    return _FOUND(text.lower().replace("ё", "е"))
+
+
 def word_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n, chars, i, begin, stop: the i-th of n tokens at begin..stop in code points; a row with empty extent for none.
 
@@ -60,6 +71,11 @@ def analyzed(text: Column, least: int = 2, stopwords: tuple[str, ...] = STOPWORD
     return F.filter(tokens(text), lambda t: (F.length(t) >= least) & (~t.isin(*stopwords) if stopwords else F.lit(True)))
 
 
+@cache
+def _as_set(words: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(words)
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """What becomes of a text's tokens: stopwords and short ones go, the rest is stemmed."""
@@ -76,6 +92,16 @@ class Analyzer:
         """The terms that count. Stemming here sends them through Arrow; for whole corpora see ``search.postings``."""
         return stemmed(self.surface(text)) if self.stemming else self.surface(text)
 
+    def counts(self, text: str) -> tuple[dict[str, int], int]:
+        """The terms of one text with their occurrences, and the sum of these, in Python."""
+        seen, stop = Counter(tokens_of(text)), _as_set(self.stopwords)
+        out: dict[str, int] = {}
+        for t, n in seen.items():
+            if len(t) >= self.least and t not in stop:
+                t = remembered(t) if self.stemming else t
+                out[t] = out.get(t, 0) + n
+        return out, sum(out.values())
+
 
 #: Terms as they are written.
 PLAIN = Analyzer(stemming=False)

@@ -1,10 +1,14 @@
 """What keeps the queries' time and memory in proportion to their input."""
 
+import math
 import time
 
 import pytest
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
 from quern.functions.sentences import sentence_spans
-from quern.operators import chunk
+from quern.operators import chunk, search
 from quern.plans.queries import QUERIES
 
 
@@ -38,3 +42,30 @@ def test_sentences_skip_what_ends_none():
     began = time.perf_counter()
     assert len(sentence_spans("Etc. no end here, i.e. none " * 200_000 + "x. Y")) == 2
     assert time.perf_counter() - began < 2
+
+
+def test_postings_and_scores_stay_in_their_rows(spark):
+    rows = spark.createDataFrame([(i, "common word" + " filler" * (i % 3)) for i in range(90)], "id long, text string").repartition(5)
+    for analyzer in (T.PLAIN, T.Analyzer()):
+        assert "Aggregate" not in plan_of(search.postings(rows, "id", F.col("text"), analyzer))
+    asked = spark.createDataFrame([(1, "common"), (2, "word filler"), (3, "filler"), (4, "absent"), (5, "")], "qid long, question string")
+    found = search.bm25(asked, rows, "id", 4, analyzer=T.PLAIN)
+    assert "Join" not in plan_of(found)
+    top = {q: [r.id for r in found.orderBy("qid", "rank").collect() if r.qid == q] for q in range(1, 6)}
+    assert top == {1: [0, 3, 6, 9], 2: [2, 5, 8, 11], 3: [2, 5, 8, 11], 4: [], 5: []}
+
+
+def test_questions_in_several_passes(spark, sf_dir, monkeypatch):
+    key = lambda rows: sorted(map(tuple, rows))
+    want = key(QUERIES["bm25_filtered"](spark, sf_dir).collect())
+    monkeypatch.setattr(search, "ASKED_ROWS", 150)
+    monkeypatch.setattr(search, "SCORE_CELLS", 3_000)
+    monkeypatch.setattr(search, "HELD_ROWS", 10)
+    assert key(QUERIES["bm25_filtered"](spark, sf_dir).collect()) == want
+
+
+def test_rows_without_text_count_and_have_no_length(spark):
+    rows = spark.createDataFrame([("a", "alpha"), ("b", None), ("c", "")], "id string, text string")
+    asked = spark.createDataFrame([(1, "alpha")], "qid long, question string")
+    found = search.bm25(asked, rows, "id", 5, analyzer=T.PLAIN).first()
+    assert found.id == "a" and abs(found.score - math.log(1 + 2.5 / 1.5) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 1 / 0.5))) < 1e-12
