@@ -64,7 +64,7 @@ class Pipeline:
             return embed.remote_embed(rows, key, text, e.dim, self.embedder, e.batch_size)
         if e.provider == "blake2b":
             return embed.hash_embed_blake2b(rows, key, text, e.dim, e.seed)
-        vectors = embed.dense(embed.hash_embed(rows, key, text, e.dim, e.seed), key, e.dim)
+        vectors = embed.hash_vectors(rows, key, text, e.dim, e.seed)
         zero = F.array_repeat(F.lit(0.0), e.dim)
         return rows.select(key).join(vectors, key, "left").select(key, F.coalesce("vector", zero).alias("vector"))
 

@@ -173,8 +173,8 @@ def hash_embed(s, d):
 def _lists(s, d):
     questions, docs = _questions(s, d), _docs(s, d)
     lexical = search.bm25(questions, docs, "doc_id", 30, analyzer=PLAIN).withColumn("source", F.lit("lexical"))
-    q = embed.dense(embed.hash_embed(questions, "qid", "question", DIM, stemming=False), "qid", DIM)
-    rows = embed.dense(embed.hash_embed(docs, "doc_id", "text", DIM, stemming=False), "doc_id", DIM)
+    q = embed.hash_vectors(questions, "qid", "question", DIM, stemming=False)
+    rows = embed.hash_vectors(docs, "doc_id", "text", DIM, stemming=False)
     near = search.dense_topk(q, rows, "doc_id", 30).withColumn("source", F.lit("dense"))
     return kept(lexical.unionByName(near.select(*lexical.columns)), "lists")
 

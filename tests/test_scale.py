@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.sentences import sentence_spans
-from quern.operators import chunk, search
+from quern.operators import chunk, embed, search
 from quern.plans.queries import QUERIES
 
 
@@ -69,3 +69,13 @@ def test_rows_without_text_count_and_have_no_length(spark):
     asked = spark.createDataFrame([(1, "alpha")], "qid long, question string")
     found = search.bm25(asked, rows, "id", 5, analyzer=T.PLAIN).first()
     assert found.id == "a" and abs(found.score - math.log(1 + 2.5 / 1.5) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 1 / 0.5))) < 1e-12
+
+
+def test_vectors_are_made_within_their_rows(spark):
+    rows = spark.createDataFrame([(1, "alpha beta alpha"), (2, None), (3, "..."), (4, "Ёлка 1,5 it's")], "id long, text string")
+    made = embed.hash_embed(rows, "id", "text", 64, 7)
+    assert "Aggregate" not in plan_of(made) and "Join" not in plan_of(made)
+    sparse = {(r.id, r.idx): r.x for r in made.collect()}
+    whole = {r.id: r.vector for r in embed.hash_vectors(rows, "id", "text", 64, 7).collect()}
+    assert set(whole) == {1, 4} and all(len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-12 for v in whole.values())
+    assert {(k, i): x for k, v in whole.items() for i, x in enumerate(v) if x} == {k: x for k, x in sparse.items() if x}
