@@ -2,8 +2,64 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
+
+from quern.sources.tables import bounded_batches
+
+#: Whole words of a passage, after its first, that find it in a document; shorter passages are looked for in every document.
+PROBE = 5
+#: Passages that go to every task at once.
+PASSAGES = 50_000
+
+
+def verbatim(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, doc_id, gold_start, gold_end): where a passage of passages(qid, passage) first stands in a text of docs(doc_id, text).
+
+    The second to sixth word of a passage are whole words of the text too, so each run of five words of a text is
+    looked up among them, and what meets is compared. A text is gone through within its row; more passages make more passes.
+    """
+    bounded_batches(docs.sparkSession)
+    texts = docs.select("doc_id", "text").where("text is not null")
+    given = passages.select("qid", "passage").where("passage is not null")
+    out = StructType([given.schema["qid"], texts.schema["doc_id"], StructField("gold_start", LongType()), StructField("gold_end", LongType())])
+    parts = max(1, math.ceil(given.count() / PASSAGES))
+    kind = to_arrow_type(out["qid"].dataType)
+
+    def search(part: int) -> DataFrame:
+        held = (given if parts == 1 else given.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)).collect()  # PASSAGES about
+        probes: dict[tuple[str, ...], list[int]] = {}
+        short = []
+        for i, r in enumerate(held):
+            words = r.passage.split()
+            if len(words) >= PROBE + 2:
+                probes.setdefault(tuple(words[1 : PROBE + 1]), []).append(i)
+            else:
+                short.append(i)
+        shared = docs.sparkSession.sparkContext.broadcast(([tuple(r) for r in held], probes, {p[0] for p in probes}, short))
+
+        def run(batches):
+            rows, probes, starts, short = shared.value
+            for batch in batches:
+                found = []
+                for at, value in enumerate(batch.column("text")):
+                    text = value.as_py()
+                    words = text.split()
+                    met = set(short).union(*(probes.get(tuple(words[i : i + PROBE]), ()) for i, w in enumerate(words) if w in starts))
+                    found += [(at, rows[i][0], place, place + len(rows[i][1])) for i in sorted(met) if (place := text.find(rows[i][1])) >= 0]
+                if found:
+                    at, qids, begin, end = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids, kind), batch.column("doc_id").take(pa.array(at)), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=out.names)
+
+        return texts.mapInArrow(run, out)
+
+    return reduce(DataFrame.unionByName, map(search, range(parts)))
 
 
 def relevant(chunks: DataFrame, gold: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -198,32 +198,10 @@ def rerank_heuristic(s, d):
     return _scores(fuse.rerank(top, questions, "doc_id", 6, analyzer=PLAIN))
 
 
-#: Whole words of a passage, after its first, that find it in a document; shorter passages are compared with every document.
-PROBE = 5
-
-
 def _gold(s, d):
-    """Where a benchmark passage first stands verbatim in a document.
-
-    The second to sixth word of a passage are whole words of the document too, so their digest
-    is looked up among those of all runs of five words; the few pairs that meet are compared.
-    """
+    """Where a benchmark passage first stands verbatim in a document."""
     passages = _read(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    word = lambda t: F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
-    named = passages.withColumn("w", word(F.col("passage")))
-    probes = named.where(F.size("w") >= PROBE + 2).select("qid", F.xxhash64(*(F.element_at("w", i + 2) for i in range(PROBE))).alias("h"))
-    docs = _docs(s, d).select("doc_id", "text")
-    w = word(F.col("text"))
-    runs = docs.select("doc_id", F.explode(F.arrays_zip(*(F.slice(w, F.lit(i + 1), F.greatest(F.size(w) - i, F.lit(0))).alias(f"w{i}") for i in range(PROBE)))).alias("x"))
-    runs = runs.where(f"x.w{PROBE - 1} is not null").select("doc_id", F.xxhash64(*(F.col(f"x.w{i}") for i in range(PROBE))).alias("h"))
-    met = runs.join(sized(probes), "h").select("qid", "doc_id").distinct()
-    pairs = docs.join(sized(met), "doc_id").join(sized(passages), "qid")
-    short = kept(named.where(F.size("w") < PROBE + 2).drop("w"), "short")
-    if not short.isEmpty():
-        pairs = pairs.unionByName(docs.join(sized(short), F.expr("instr(text, passage) > 0")).select(*pairs.columns))
-    start = F.expr("instr(text, passage) - 1")
-    found = pairs.where("instr(text, passage) > 0").select("qid", "doc_id", start.cast("long").alias("gold_start"), (start + F.length("passage")).cast("long").alias("gold_end"))
-    return kept(found, "gold")
+    return kept(metrics.verbatim(passages, _docs(s, d)), "gold")
 
 
 def gold_spans(s, d):

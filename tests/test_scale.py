@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.sentences import sentence_spans
-from quern.operators import chunk, embed, search
+from quern.operators import chunk, embed, metrics, search
 from quern.plans.queries import QUERIES
 
 
@@ -79,3 +79,17 @@ def test_vectors_are_made_within_their_rows(spark):
     whole = {r.id: r.vector for r in embed.hash_vectors(rows, "id", "text", 64, 7).collect()}
     assert set(whole) == {1, 4} and all(len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-12 for v in whole.values())
     assert {(k, i): x for k, v in whole.items() for i, x in enumerate(v) if x} == {k: x for k, x in sparse.items() if x}
+
+
+def test_passages_within_their_rows(spark, monkeypatch):
+    line = "one two three four five six seven"
+    texts = [None, "", f"x {line} y {line}", f"zero{line}th", "one two three four five six  seven", "tiny\U0001f600 tiny", f"{line[:-1]}", "two three four five six " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = [(1, line), (2, line), (3, "tiny"), (4, None), (5, "seven"), (6, "\U0001f600 t"), (7, "two three four five six two three four five six t")]
+    passages = spark.createDataFrame(given, "qid long, passage string")
+    want = {(q, i, t.find(p), t.find(p) + len(p)) for q, p in given if p for i, t in enumerate(texts) if t and p in t}
+    found = metrics.verbatim(passages, docs)
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert "Join" not in plan_of(found) and "Generate" not in plan_of(found)
+    monkeypatch.setattr(metrics, "PASSAGES", 2)
+    assert {tuple(r) for r in metrics.verbatim(passages, docs).collect()} == want
