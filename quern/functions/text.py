@@ -34,7 +34,13 @@ STOPWORDS = tuple(sorted({*RUSSIAN_STOPWORDS, *ENGLISH_STOPWORDS}))
 
 
 def fold(text: Column) -> Column:
-    return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
+    """Lower case and ``е`` for ``ё``. ``İ`` alone would become two characters; it is ``i``, so that places stay."""
+    return F.replace(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), F.lit("ё"), F.lit("е"))
+
+
+def folded(text: str) -> str:
+    """``fold`` in Python."""
+    return text.replace("İ", "i").lower().replace("ё", "е")
 
 
 def tokens(text: Column) -> Column:
@@ -46,7 +52,7 @@ _FOUND = re.compile(TOKEN).findall
 
 def tokens_of(text: str) -> list[str]:
     """``tokens`` in Python."""
-    return _FOUND(text.lower().replace("ё", "е"))
+    return _FOUND(folded(text))
 
 
 def word_spans(docs: DataFrame) -> DataFrame:

@@ -3,13 +3,14 @@
 import math
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.sentences import sentence_spans
 from quern.operators import chunk, embed, metrics, search
-from quern.plans.queries import QUERIES
+from quern.plans.queries import ORACLES, QUERIES
 
 
 def plan_of(df):
@@ -93,3 +94,15 @@ def test_passages_within_their_rows(spark, monkeypatch):
     assert "Join" not in plan_of(found) and "Generate" not in plan_of(found)
     monkeypatch.setattr(metrics, "PASSAGES", 2)
     assert {tuple(r) for r in metrics.verbatim(passages, docs).collect()} == want
+
+
+def test_dotted_capital_i_is_one_letter(spark, tmp_path):
+    texts = ["İstanbul " * 400, "ab İ " * 200, "plain words " * 150, "K ſ ẞ Σς Ёж " * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("chunk_token", "word_spans", "tokenize_count", "fold_text"):
+        got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+        columns = ", ".join(QUERIES[name](spark, str(tmp_path)).columns)
+        assert got == sorted(con.sql(f"select {columns} from ({ORACLES[name]})").fetchall())
