@@ -76,21 +76,21 @@ def chunk_structural(s, d):
     return _spans(chunk.chunk(_docs(s, d), "structural"))
 
 
-def _by_strategy(s, d, name, of):
+def _by_strategy(s, d, name, of, texts):
     """(doc_id, strategy, name) of the pieces that each strategy makes, in one pass over the texts."""
     docs = _docs(s, d).select("doc_id", "text", F.length("text").alias("chars"))
     for k in chunk.DEFAULTS:
-        docs = chunk.pieces(docs, k, f"__{k}")
+        docs = chunk.pieces(docs, k, f"__{k}", texts)
     each = (F.struct(F.lit(k).alias("strategy"), of(F.col(f"__{k}")).alias(name)) for k in chunk.DEFAULTS)
     return docs.select("doc_id", F.inline(F.array(*each)))
 
 
 def chunk_coverage(s, d):
-    return _by_strategy(s, d, "covered", lambda pieces: chunk.tiles(pieces, F.col("chars")))
+    return _by_strategy(s, d, "covered", lambda pieces: chunk.tiles(pieces, F.col("chars")), False)
 
 
 def chunk_reconstruct(s, d):
-    return _by_strategy(s, d, "digest", lambda pieces: F.md5(chunk.joined(pieces)))
+    return _by_strategy(s, d, "digest", lambda pieces: F.md5(chunk.joined(pieces)), True)
 
 
 def _postings(s, d, analyzer=PLAIN):

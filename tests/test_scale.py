@@ -118,3 +118,27 @@ def test_upsert_in_one_shuffle(spark):
     made = store.upsert(table, rows.select("text", "doc_id", "chunk_id"))
     assert sorted(map(tuple, made.collect()), key=str) == sorted([("a", "1", "x"), ("a", "1", "x"), ("b", "2", "newer"), (None, "3", "z"), ("c", "4", None), (None, "5", "n")], key=str)
     assert "Join" not in plan_of(made) and "Aggregate" not in plan_of(made) and plan_of(made).count("Window") == 1
+
+
+@pytest.mark.parametrize("strategy", chunk.DEFAULTS)
+def test_spans_without_texts(spark, strategy):
+    docs = spark.createDataFrame([(i, "# A\n" * i + "Some words here. " * 90 * i + "\n\n## B\nit's 1.5 end. " * i) for i in range(1, 4)], "doc_id long, text string")
+    spans = chunk.pieces(docs, strategy, "p", False).select("doc_id", F.inline("p"))
+    assert spans.columns == ["doc_id", "start", "end", "heading"]
+    whole = chunk.chunk(docs, strategy).select(*spans.columns)
+    assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_token_windows_go_over_runs(monkeypatch):
+    text = "It's 1.5 or 2,5.6 İb жёлтый a'b' c`d x9y ... " * 90
+    found = [m.span() for m in re.finditer(T.TOKEN, T.folded(text))]
+    monkeypatch.setattr(chunk, "_TOKEN", re.compile("never"))  # 990 tokens are 33 runs of 30 and nothing more
+    assert len(found) == 990 and chunk.token_windows(text, 180, 30)[1] == (found[150][0], found[329][1])
+    began = time.perf_counter()
+    assert chunk.token_windows("a'" * 100_000 + " 1.2.3,4" * 50_000 + "z" * 200_000, 180, 30)[-1][1] == 800_000
+    assert time.perf_counter() - began < 2
+
+
+def test_headings_begin_a_line():
+    text = "# A\nx # no\n### B  \n####### no\n#no\n\t# no\n## C d \n#\tE"
+    assert chunk.headings(text) == [(0, "A"), (11, "A > B"), (40, "A > C d"), (48, "E")]
