@@ -142,3 +142,9 @@ def test_token_windows_go_over_runs(monkeypatch):
 def test_headings_begin_a_line():
     text = "# A\nx # no\n### B  \n####### no\n#no\n\t# no\n## C d \n#\tE"
     assert chunk.headings(text) == [(0, "A"), (11, "A > B"), (40, "A > C d"), (48, "E")]
+
+
+def test_suffixes_are_looked_up():
+    assert isinstance(stem._STEP2, dict) and len(stem._STEP2) == 20 and len(stem._STEP3) == 7 and len(stem._STEP4) == 18
+    assert [stem._shape(w) for w in ("toy", "syzygy", "yy", "bayyy", "")] == [b"cvc", b"cvcvcv", b"cv", b"cvcvc", b""]
+    assert [stem.stem(w) for w in ("relational", "conditional", "vietnamization", "replacement", "syzygies", "its'", "1.5s")] == ["relat", "condit", "vietnam", "replac", "syzygi", "its'", "1.5"]
