@@ -226,7 +226,8 @@ def _packs(s, d):
     # only the documents of these chunks are cut again; a chunk's id is its document's, "::" and a number
     found = sized(top.select(F.regexp_replace("chunk_id", "::[0-9]+$", "").alias("id")).distinct())
     chunks = chunk.chunk(docs.join(found, F.col("doc_id").cast("string") == F.col("id"), "left_semi"), "fixed")
-    return kept(answer.packed(top.join(sized(chunks.select("chunk_id", "text", "heading").join(ids, "chunk_id", "left_semi")), "chunk_id")), "packs")
+    cut = kept(chunks.select("chunk_id", "text", "heading").join(ids, "chunk_id", "left_semi"), "cut")
+    return kept(answer.packed(top.join(sized(cut), "chunk_id")), "packs")
 
 
 def context_pack(s, d):

@@ -111,7 +111,6 @@ def test_dotted_capital_i_is_one_letter(spark, tmp_path):
         assert got == sorted(con.sql(f"select {columns} from ({ORACLES[name]})").fetchall())
 
 
-
 def test_upsert_in_one_shuffle(spark):
     table = spark.createDataFrame([("a", "1", "x"), ("a", "1", "x"), ("b", "2", "y"), (None, "3", "z")], "chunk_id string, doc_id string, text string")
     rows = spark.createDataFrame([("b", "2", "new"), ("b", "2", "newer"), ("b", None, "zz"), ("c", "4", None), (None, "5", "n"), (None, "5", "m")], table.schema)
@@ -144,6 +143,14 @@ def test_headings_begin_a_line():
     assert chunk.headings(text) == [(0, "A"), (11, "A > B"), (40, "A > C d"), (48, "E")]
 
 
+def test_packs_texts_are_cut_once(spark, sf_dir, monkeypatch):
+    from quern.plans import queries
+
+    labels = []
+    monkeypatch.setattr(queries, "kept", lambda df, label: (labels.append(label), kept(df, label))[1])
+    assert queries.context_pack(spark, sf_dir).count() > 0 and labels == ["top", "cut", "packs"]
+
+
 def test_suffixes_are_looked_up():
     assert isinstance(stem._STEP2, dict) and len(stem._STEP2) == 20 and len(stem._STEP3) == 7 and len(stem._STEP4) == 18
     assert [stem._shape(w) for w in ("toy", "syzygy", "yy", "bayyy", "")] == [b"cvc", b"cvcvcv", b"cv", b"cvcvc", b""]
