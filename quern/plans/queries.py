@@ -281,7 +281,8 @@ def store_delete(s, d):
 
 def reindex_replace(s, d):
     docs = _changed(s, d)
-    return store.reindexed(_table(s, d), docs, chunk.chunk(docs, "fixed").select("chunk_id", "doc_id", "text")).select("chunk_id", "doc_id", F.md5("text").alias("digest"))
+    fresh = chunk.chunk(docs, "fixed").select("chunk_id", "doc_id", "text")
+    return store.reindexed(_table(s, d), docs, fresh, _read(s, d, "documents")).select("chunk_id", "doc_id", F.md5("text").alias("digest"))
 
 
 def dedupe_ids(s, d):

@@ -155,3 +155,34 @@ def test_suffixes_are_looked_up():
     assert isinstance(stem._STEP2, dict) and len(stem._STEP2) == 20 and len(stem._STEP3) == 7 and len(stem._STEP4) == 18
     assert [stem._shape(w) for w in ("toy", "syzygy", "yy", "bayyy", "")] == [b"cvc", b"cvcvcv", b"cv", b"cvcvc", b""]
     assert [stem.stem(w) for w in ("relational", "conditional", "vietnamization", "replacement", "syzygies", "its'", "1.5s")] == ["relat", "condit", "vietnam", "replac", "syzygi", "its'", "1.5"]
+
+
+def test_reindex_shuffles_no_old_text(spark, sf_dir):
+    rows = [("a::0", "a", "x"), ("a::1", "a", "y"), ("b::0", "b", "z"), ("c::0", "c", "u"), (None, None, "v")]
+    table = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string")
+    docs = spark.createDataFrame([("a", "new"), ("b", " "), ("a", "new"), (None, "n"), ("q", "q")], "doc_id string, text string")
+    known = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,), ("only known",)], "doc_id string")
+    chunks = spark.createDataFrame([("a::0", "a", "new")], table.schema)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        made = store.reindexed(table, docs, chunks.select("text", "doc_id", "chunk_id"), known)
+        assert sorted(map(tuple, made.collect()), key=str) == sorted([*rows[3:], ("a::0", "a", "new")], key=str)
+        # the registered query replaces all documents' chunks; rows dealt by key hold the key alone
+        for df in (made, QUERIES["reindex_replace"](spark, sf_dir)):
+            plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            dealt = re.findall(r"Exchange\s*\nInput \[(\d+)\].*\nArguments: hashpartitioning", plan)
+            assert dealt and set(dealt) == {"1"}
+    finally:
+        spark.conf.set(key, usual)
+
+
+def test_reindex_with_many_that_stay(spark, monkeypatch):
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 3)
+    known = spark.range(9).withColumnRenamed("id", "doc_id")
+    table = known.select(F.concat("doc_id", F.lit("::0")).alias("chunk_id"), "doc_id", F.lit("t").alias("text"))
+    for gone in (0, 2, 5, 6, 9):
+        made = store.delete_documents(table, known.where(F.col("doc_id") < gone), known)
+        assert sorted(r.doc_id for r in made.collect()) == list(range(gone, 9))
+        assert ("LeftSemi" in plan_of(made)) == (9 - gone <= 3)
